@@ -12,7 +12,8 @@ shingles themselves.
 No pairs are made within a group of equal parts: each member is compared with
 the group's leader, links are merged into components, and only pairs that share
 a part, lie in different components, and are not excluded by the triangle
-inequality on the Jaccard distance are compared in a second step.
+inequality on the Jaccard distance or by the Hamming distance of whole sketches
+are compared in a second step, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from .base import cut, prepare, spread
 from .components import components
 from .textnum import mix64, shingle_sets, slices, string_parts, words
 
+#: Rows of a tile in the second step, on average.
+TILE = 512
+
 _POSITION = np.uint64((1 << 24) - 1)
 _SEEDS = [np.uint64(0x51ED270B7F4A7C15 + 0x9E3779B97F4A7C15 * j & (1 << 64) - 1) for j in range(8)]
 
@@ -150,7 +154,61 @@ def _packed(n: int):
             for _, _, row, value, size, node in _sets(batch, n):
                 ends = np.cumsum(size)
                 packed = [value[e - s : e].tobytes() for s, e in zip(size, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64), mask=size == 0), pa.array(packed, pa.binary())], ["node", "grams"])
+                folds = [fold_sketch(value[e - s : e]).tobytes() for s, e in zip(size, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64), mask=size == 0), pa.array(packed, pa.binary()), pa.array(folds, pa.binary())], ["node", "grams", "sketch"])
+
+    return run
+
+
+def fold_sketch(value: np.ndarray) -> np.ndarray:
+    """A parity sketch of at least two bits a shingle, as 64-bit words. Its length
+    is a power of two, so a longer sketch folds onto a shorter one by XOR."""
+    n_words = 1 << max(2, math.ceil(math.log2(max(1, len(value)) / 32)) if len(value) > 32 else 2)
+    h = mix64(value ^ np.uint64(0xA5A5A5A55A5A5A5A))
+    sketch = np.zeros(n_words, np.uint64)
+    np.bitwise_xor.at(sketch, ((h >> np.uint64(6)) & np.uint64(n_words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return sketch
+
+
+def _tile_pairs(num: int, den: int):
+    """Pairs of a tile that the sizes, the triangle inequality and the sketches
+    leave open, of rows sorted by (key, ti, tj). A tile's rows are bounded."""
+
+    def near(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        node, root, size, own = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
+        d = np.array([np.nan if r[3] is None else r[3] for r in rows])
+        sketches = [np.frombuffer(r[5], np.uint64) for r in rows]
+        width = min(map(len, sketches))
+        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), 0) for x in sketches])
+        across = own.min() != own.max()
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            ok = (root[j] != root[i]) & (size[j] * den >= size[i] * num) & (size[i] * den >= size[j] * num) & ~(np.abs(d[j] - d[i]) > (den - num) / den + 1e-9)
+            j = j[ok & (own[j] != own[i])] if across else j[ok]
+            if len(j):
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+                for x in j[apart.astype(np.int64) * (den + num) <= (size[j] + size[i]) * (den - num)]:
+                    yield min(node[i], node[x]), max(node[i], node[x])
+
+    def emit(found: set) -> pa.RecordBatch:
+        a, b = (np.array([p[c] for p in found], np.int64) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, found = None, [], set()
+        for batch in batches:
+            for key, ti, tj, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != (key, ti, tj):
+                    if len(rows) > 1:
+                        found.update(near(rows))
+                    tile, rows = (key, ti, tj), []
+                rows.append(row)
+            if len(found) > 100_000:
+                yield emit(found)
+                found = set()
+        if len(rows) > 1:
+            found.update(near(rows))
+        yield emit(found)
 
     return run
 
@@ -196,25 +254,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     # one text of each candidate set, found by its smallest doc_id
     chosen = signed.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
     texts = cut(known.join(chosen.select("doc_id").distinct(), "doc_id"))
-    sets = texts.mapInArrow(_packed(n), "node long, grams binary").where("node is not null").dropDuplicates(["node"])
+    sets = texts.mapInArrow(_packed(n), "node long, grams binary, sketch binary").where("node is not null").dropDuplicates(["node"])
     sets = cut(sets.join(nodes, "node", "left_semi"))
     checked = compared(pairs, sets)
     roots = components(checked.where(linked).select("a", "b"))
 
     # pairs that share a part but were not joined through their leaders
-    size = sets.select("node", (F.length("grams") / 8).cast("long").alias("size"))
-    facts = size.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
+    size = sets.select("node", "sketch", (F.length("grams") / 8).cast("long").alias("size"))
+    facts = size.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
     member = keys(texts).join(facts, "node")
-    mixed = member.groupBy("key").agg(F.min("node").alias("leader"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "leader")
+    mixed = (
+        member.groupBy("key")
+        .agg(F.min("node").alias("leader"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+        .where("lo < hi")
+        .select("key", "leader", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    )
     apart = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    member = cut(member.join(mixed, "key").join(apart, ["leader", "node"], "left").select("key", "node", "root", "size", F.expr("case when node = leader then 0D else d end").alias("d")))
-    left, right = (member.select("key", *(F.col(c).alias(c + s) for c in ("node", "root", "size", "d"))) for s in "ab")
-    far = F.abs(F.col("da") - F.col("db")) > (den - num) / den + 1e-9
+    member = member.join(mixed, "key").join(apart, ["leader", "node"], "left").withColumn("d", F.expr("case when node = leader then 0D else d end"))
+    # a large group of equal parts is dealt to pairs of bounded tiles
+    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = member.select("key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", "root", "size", "d", "own", "sketch")
     rest = (
-        left.join(right, "key")
-        .where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")))
-        .where((F.col("sizea") * den >= F.col("sizeb") * num) & (F.col("sizeb") * den >= F.col("sizea") * num) & ~F.coalesce(far, F.lit(False)))
-        .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+        tiles.repartition("key", "ti", "tj")
+        .sortWithinPartitions("key", "ti", "tj")
+        .mapInArrow(_tile_pairs(num, den), "a long, b long")
         .distinct()
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
