@@ -54,13 +54,16 @@ def test_base_spans_equal_plain_patterns(spark):
 
 
 def test_long_runs_are_safe(spark):
-    check(spark, ["1" * 200000, "1 " * 60000, "a" * 200000, "a@" + ".b" * 60000, "a@b" + ".c" * 60000, "1." * 60000, "+1" + "(" * 60000])
+    # the plain patterns take quadratic time here, so the counts are stated
+    texts = ["1" * 200000, "1 " * 60000, "a" * 200000, "a@" + ".b" * 60000, "a@b" + ".c" * 60000, "1." * 20000, "+1" + "(" * 60000]
+    rows = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows] == [(0, 0, 0, 0)] * 4 + [(1, 0, 0, 0), (0, 5000, 0, 0), (0, 0, 0, 0)]
 
 
 def test_added_kinds(spark):
     df = spark.createDataFrame([(1, "iban DE89 3702 0504 4000 1000 00 x DE89370400440532013000"), (2, "my ssn 123-45-6789, part 123-45-6789" + " " * 50 + "123-45-6789")], "doc_id long, text string")
     rows = {r.doc_id: r.spans for r in pii.report(df).collect()}
-    assert "iban:34:56" in rows[1] and rows[1].count("iban") == 1
+    assert "iban:35:57" in rows[1] and rows[1].count("iban") == 1
     assert rows[2].count("ssn") == 2
 
 
