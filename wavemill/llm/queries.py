@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii
+from . import ego_join, langid, mixing, packing, pii, topk
 from .base import table
 from .parity_join import jaccard_components
 
@@ -21,6 +21,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embeddings_top_k(table(spark, sf_dir, "embeddings"), k=10, scale=1024, every=100)
+
+
+def op4_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_langid, op6_pii, op8_mixing, op10_parity_join)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op6_pii, op8_mixing, op10_parity_join)}
 
 
 def oracle_sql() -> dict[str, str]:
