@@ -11,7 +11,7 @@ shingles themselves.
 
 No pairs are made within a group of equal parts: each member is compared with
 the group's leader, links are merged into components, and only pairs that share
-a part, lie in different components, and are not excluded by the triangle
+a leader, lie in different components, and are not excluded by the triangle
 inequality on the Jaccard distance or by the Hamming distance of whole sketches
 are compared in a second step, in tiles of bounded size.
 """
@@ -172,7 +172,7 @@ def fold_sketch(value: np.ndarray) -> np.ndarray:
 
 def _tile_pairs(num: int, den: int):
     """Pairs of a tile that the sizes, the triangle inequality and the sketches
-    leave open, of rows sorted by (key, ti, tj). A tile's rows are bounded."""
+    leave open, of rows sorted by (leader, ti, tj). A tile's rows are bounded."""
 
     def near(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         node, root, size, own = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
@@ -197,11 +197,11 @@ def _tile_pairs(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows, found = None, [], set()
         for batch in batches:
-            for key, ti, tj, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if tile != (key, ti, tj):
+            for leader, ti, tj, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != (leader, ti, tj):
                     if len(rows) > 1:
                         found.update(near(rows))
-                    tile, rows = (key, ti, tj), []
+                    tile, rows = (leader, ti, tj), []
                 rows.append(row)
             if len(found) > 100_000:
                 yield emit(found)
@@ -259,24 +259,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     checked = compared(pairs, sets)
     roots = components(checked.where(linked).select("a", "b"))
 
-    # pairs that share a part but were not joined through their leaders
+    # Texts that share a part share its leader, so pairs left open are within a
+    # leader's group; groups in one component are done.
     size = sets.select("node", "sketch", (F.length("grams") / 8).cast("long").alias("size"))
     facts = size.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
-    member = keys(texts).join(facts, "node")
+    distance = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    group = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), distance.alias("d"))
+    group = group.unionByName(checked.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.lit(0.0).alias("d")).distinct())
+    rooted = group.join(facts.select("node", "root"), "node")
     mixed = (
-        member.groupBy("key")
-        .agg(F.min("node").alias("leader"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+        rooted.groupBy("leader")
+        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
         .where("lo < hi")
-        .select("key", "leader", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+        .select("leader", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     )
-    apart = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    member = member.join(mixed, "key").join(apart, ["leader", "node"], "left").withColumn("d", F.expr("case when node = leader then 0D else d end"))
-    # a large group of equal parts is dealt to pairs of bounded tiles
-    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = member.select("key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", "root", "size", "d", "own", "sketch")
+    # a large group is dealt to pairs of bounded tiles
+    member = group.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = member.join(facts, "node").select("leader", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", "root", "size", "d", "own", "sketch")
     rest = (
-        tiles.repartition("key", "ti", "tj")
-        .sortWithinPartitions("key", "ti", "tj")
+        tiles.repartition("leader", "ti", "tj")
+        .sortWithinPartitions("leader", "ti", "tj")
         .mapInArrow(_tile_pairs(num, den), "a long, b long")
         .distinct()
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
