@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ego_join, langid, mixing, packing, pii, topk
+from . import ego_join, html_text, langid, mixing, packing, pii, topk
 from .base import table
 from .parity_join import jaccard_components
 
@@ -37,6 +37,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,7 +51,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op6_pii, op8_mixing, op10_parity_join)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op6_pii, op7_html_text, op8_mixing, op10_parity_join)}
 
 
 def oracle_sql() -> dict[str, str]:
