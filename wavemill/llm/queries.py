@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ego_join, html_text, langid, mixing, packing, pii, topk
+from . import ego_join, html_text, langid, mixing, packing, pii, topk, url_filter
 from .base import table
 from .parity_join import jaccard_components
 
@@ -46,12 +46,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op6_pii, op7_html_text, op8_mixing, op10_parity_join)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op6_pii, op7_html_text, op8_mixing, op9_url_filter, op10_parity_join)}
 
 
 def oracle_sql() -> dict[str, str]:
