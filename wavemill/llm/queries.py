@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ego_join, html_text, langid, mixing, packing, pii, topk, url_filter
+from . import ego_join, html_text, langid, mixing, mixing_lm, packing, pii, topk, url_filter
 from .base import table
 from .parity_join import jaccard_components
 
@@ -33,6 +33,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op6_pii, op7_html_text, op8_mixing, op9_url_filter, op10_parity_join)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op5_mixing_lm, op6_pii, op7_html_text, op8_mixing, op9_url_filter, op10_parity_join)}
 
 
 def oracle_sql() -> dict[str, str]:
