@@ -168,41 +168,71 @@ def plan_rows(plan: Plan) -> pd.DataFrame:
 # -- Spark stages -------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Runs of non-space bytes kept with their ids by a Python worker, in each of two generations.
+CACHE = 600_000
+
+
+class RunIds:
+    """Packed ids of runs of non-space bytes. White space always ends a token, so
+    a text's ids are its runs' ids in turn; and so does the change from a letter
+    to a final full stop or comma, so a run is looked up without them too."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, runs: list[bytes]) -> bytes:
+        try:
+            return b"".join(map(self.young.__getitem__, runs))
+        except KeyError:
+            if len(self.young) > CACHE:
+                self.old, self.young = self.young, {}
+            self.learn(set(runs).difference(self.young))
+            return b"".join(map(self.young.__getitem__, runs))
+
+    def learn(self, runs: set[bytes]) -> None:
+        parts = {}
+        for r in runs:
+            if r in self.old:
+                self.young[r] = self.old[r]
+                continue
+            core = r.rstrip(b".,")
+            if core and core != r and core.decode("utf-8", "replace")[-1].isalpha():
+                parts[r] = (core.lower(), r[len(core) :])
+            else:
+                parts[r] = (r.lower(),)
+        need = {p for ps in parts.values() for p in ps if p not in self.young}
+        new = [p for p in need if p not in self.old]
+        self.young.update((p, self.old[p]) for p in need if p in self.old)
+        if new:
+            for p, e in zip(new, self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)):
+                self.young[p] = np.array(e.ids, np.uint32).tobytes()
+        for r, ps in parts.items():
+            self.young[r] = b"".join(map(self.young.__getitem__, ps))
 
 
-#: Runs of non-space bytes kept with their ids by a task; beyond it the cache starts anew.
-CACHE = 400_000
+@lru_cache(maxsize=2)
+def _run_ids(path: str) -> RunIds:
+    return RunIds(path)
 
 
 def _pieces(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok = _tokenizer(path)
-        known: dict[bytes, bytes] = {}
+        ids_of = _run_ids(path)
         ranks: dict[int, int] = {}
         part = TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            # white space always ends a token, so a text's ids are its runs' ids in turn
-            for lo in range(0, len(batch), 256):
-                ids, texts = (c.slice(lo, 256).to_pylist() for c in batch.columns)
-                runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-                new = list({r for rs in runs for r in rs if r not in known}) if len(known) < CACHE else None
-                if new is None:
-                    known, new = {}, list({r for rs in runs for r in rs})
-                for at in range(0, len(new), 4096):
-                    some = new[at : at + 4096]
-                    for r, e in zip(some, tok.encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False)):
-                        known[r] = np.array(e.ids, np.uint32).tobytes()
-                for doc, rs in zip(ids, runs):
-                    packed = b"".join(map(known.__getitem__, rs)) + end
+            for lo in range(0, len(batch), 64):
+                ids, texts = (c.slice(lo, 64).to_pylist() for c in batch.columns)
+                for doc, text in zip(ids, texts):
+                    packed = ids_of((text or "").encode("utf-8", "surrogatepass").split()) + end
                     n = len(packed) // 4
                     for piece, start in enumerate(range(0, n, size)):
                         some = packed[start * 4 : (start + size) * 4]
