@@ -64,7 +64,7 @@ def test_pieces(spark):
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rnd = random.Random(7)
-    texts = [None, "", " \n", "Hello, World's 3.14!", "é É́ éx\x1cy! ﬁ", "<|endoftext|> a", "word " * 9000]
+    texts = [None, "", " \n", "Hello, World's 3.14!", "é É́ éx\x1cy! ﬁ", "<|endoftext|> a <|ENDOFTEXT|>, x<|EndOfText|>. 'S, É. á. ².", "word " * 9000]
     texts += [" ".join(rnd.choice(["alpha", "Beta", "gamma,", "d3lta"]) for _ in range(rnd.randrange(1, 900))) for _ in range(80)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 2), (None, "x", 3)], "doc_id long, text string, length int")
     rows = packing.pack(df, P.path("word_bpe_49k.json")).collect()

@@ -200,10 +200,12 @@ class RunIds:
                 self.young[r] = self.old[r]
                 continue
             core = r.rstrip(b".,")
-            if core and core != r and core.decode("utf-8", "replace")[-1].isalpha():
+            if b"<|" in r:  # may hold a special token, which lower case would change
+                parts[r] = (r,)
+            elif core and core != r and core.decode("utf-8", "replace")[-1].isalpha():
                 parts[r] = (core.lower(), r[len(core) :])
             else:
-                parts[r] = (r.lower(),)
+                parts[r] = (r.lower(),)  # the tokenizer's ids are those of lower case
         need = {p for ps in parts.values() for p in ps if p not in self.young}
         new = [p for p in need if p not in self.old]
         self.young.update((p, self.old[p]) for p in need if p in self.old)
