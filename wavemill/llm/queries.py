@@ -62,5 +62,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_topk, op3_langid, op4_ego_join, op5_mixing_lm, op6_pii, op7_html_text, op8_mixing, op9_url_filter, op10_parity_join)}
 
 
+_WHOLE = "vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+SQL = {
+    "op2_topk": f"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) v FROM embeddings WHERE {_WHOLE}),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rk FROM s)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 10""",
+    "op4_ego_join": f"""
+WITH RECURSIVE d AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings WHERE {_WHOLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) u FROM d),
+l AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.u, b.u) >= 0.9),
+c(vec_id, reach) AS (SELECT vec_id, vec_id FROM u UNION SELECT c.vec_id, l.b FROM c JOIN l ON l.a = c.reach),
+n AS (SELECT a, count(*) n FROM l GROUP BY a), m AS (SELECT vec_id, min(reach) low FROM c GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n.n, 0) n_links, coalesce(m.low, e.vec_id) component_id, coalesce(e.vec_id = coalesce(m.low, e.vec_id), false) kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.vec_id = e.vec_id""",
+    "op10_parity_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) END g FROM w),
+f AS (SELECT DISTINCT doc_id, unnest(g) s FROM g WHERE doc_id IS NOT NULL),
+n AS (SELECT doc_id, count(*) n FROM f GROUP BY 1),
+p AS (SELECT x.doc_id a, y.doc_id b, count(*) i FROM f x JOIN f y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)),
+c(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT c.doc_id, l.b FROM c JOIN l ON l.a = c.reach),
+m AS (SELECT doc_id, min(reach) low FROM c GROUP BY 1)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) n_shingles, coalesce(m.low, g.doc_id) component_id FROM g LEFT JOIN m ON m.doc_id = g.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
