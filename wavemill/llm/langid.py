@@ -243,8 +243,11 @@ def fit(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, max_chars: in
     is labelled."""
     known = docs.where("lang is not null and text is not null and text rlike '[A-Za-z\\\\x{80}-\\\\x{10FFFF}]'").where(F.length("text") <= max_chars)
     common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
+    # salted first, so that a frequent language is no task of its own
+    ids = known.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
+    for by in (("lang", "salt"), ("lang",)):
+        ids = ids.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
+    ids = ids.select("doc_id").distinct()
     rows = known.join(F.broadcast(ids), "doc_id").where(F.col("lang").isin(common)).select("text", "lang").limit(2 * per_lang * max_langs).collect() if common else []
     rows = sorted((r.text, r.lang) for r in rows)
     return train([t for t, _ in rows], [v for _, v in rows]) if rows else None
