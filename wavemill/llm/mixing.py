@@ -67,7 +67,7 @@ def apportion(parties: DataFrame, by: list[str], votes: str, seats: str) -> Data
     return x.join(won, same, "left").select(*parties.columns, (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 64, shard_words: int = 1 << 17, max_shards: int = 8192, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 16, shard_words: int = 1 << 17, max_shards: int = 8192, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target and taken beside its columns, a row
     per input row.
 
