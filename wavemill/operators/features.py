@@ -79,10 +79,14 @@ def power_spectrum(rows: DataFrame, key: str, samples: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key_of, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.fft.rfft(np.array(x, float)) if x else np.zeros(0)
+            sizes = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]):  # rows of one length at a time
+                at = np.flatnonzero(sizes == size)
+                x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), size)
+                s = np.fft.rfft(x, axis=1)
                 p = s.real**2 + s.imag**2
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), key_of)), pa.array(np.arange(len(p))), pa.array(p)], ["key", "bin", "power"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[at], p.shape[1])), pa.array(np.tile(np.arange(p.shape[1]), len(at))), pa.array(p.ravel())], ["key", "bin", "power"])
 
     return rows.select(F.col(key).cast("long"), samples).mapInArrow(run, "key long, bin long, power double").withColumnRenamed("key", key)
 

@@ -399,11 +399,11 @@ def config_validate(spark, d):
 
 
 @query(f"""WITH {PLACED}, t AS (SELECT source_id, seq, start_sample, n_samples, 'n' || n_samples || ' ' || CASE WHEN list_sum(list_transform(samples, lambda x: CAST(x AS DOUBLE))) > 0 THEN 'pos' ELSE 'neg' END AS text FROM placed)
-SELECT source_id, row_number() OVER (ORDER BY source_id, seq) - 1 id, text, start_sample * 62500 start_ns, (start_sample + n_samples) * 62500 end_ns FROM t""")
+SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 id, text, start_sample * 62500 start_ns, (start_sample + n_samples) * 62500 end_ns FROM t""")
 def asr_fake_e2e(spark, d):
-    placed = timeline.place_chunks(chunks(spark, d)).select("source_id", "seq", "start_sample", "n_samples", F.lit(0).alias("session"), "samples")
+    placed = timeline.place_chunks(chunks(spark, d)).select("source_id", "seq", "start_sample", "n_samples", "samples")
     said = events.drop_blank(decode.transcribe(placed, decode.FakeModel))
-    out = events.assign_ids(said, "session", "source_id", "seq")
+    out = events.assign_ids(said, "source_id", "seq")  # each source is a session of its own here
     return out.select("source_id", "id", "text", clock.samples_to_ns(F.col("start_sample")).alias("start_ns"), clock.samples_to_ns(F.col("start_sample") + F.col("n_samples")).alias("end_ns"))
 
 
