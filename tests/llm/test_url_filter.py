@@ -58,5 +58,17 @@ def test_rules_and_words(spark):
     assert by["http://cheap-pills.org/offer/1"].verdict == "block" and by["http://pleasant.org/garden/"].verdict == "allow" and by[None].verdict == "allow"
 
 
+def test_path_parts_are_split(spark):
+    long = "bestonlinecasinobonuses"
+    far = "online" * 42 + "casino" + "best" * 10  # the seed word lies across character 255
+    urls = [f"http://x.org/{long}/1", f"http://x.org/a/{long}foryou", f"http://x.org/a/{long}online", f"http://y.org/{far}", "http://y.org/" + "7" * 30] + ["http://pleasant.org/garden/9"] * 30
+    rows = [(i, u, "<p>best online bonuses for you, pleasant garden</p>") for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].words == "x best online casino bonuses 0" and got[0].verdict == "block"
+    assert got[1].words.split()[-3:] == ["bonuses", "for", "you"] and got[2].words.split()[-2:] == ["bonuses", "online"]
+    assert "casino" in got[3].words.split() and got[3].words.replace(" ", "") == "y" + far and got[4].words == "y 0"
+    assert got[10].verdict == "allow"
+
+
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

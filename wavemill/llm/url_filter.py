@@ -1,8 +1,9 @@
 """URL filter: path rules first, then segmented words and naive Bayes.
 
-Host labels are often several words run together. A unigram model of words,
-counted over all hyphenated hosts, paths and page texts, splits them by Viterbi; a
-multinomial naive Bayes model then scores the words of host and path. Its
+Host labels and path parts are often several words run together. A unigram model
+of words, counted over hyphenated hosts, hyphenated path segments and page texts
+(a name without a mark between its words must not vouch for itself), splits them
+by Viterbi; a multinomial naive Bayes model then scores the words of host and path. Its
 training urls are those whose separated words hold a seed word of an unwanted
 kind (block) and those without one (allow), so it carries the seeds' verdict
 over to words that occur with them.
@@ -69,12 +70,11 @@ _PARTS = re.compile(r"[^\W_]+")
 
 
 def tokens(host: str, path: str, splits) -> list[str]:
-    """Words of a url: host labels but the last and the usual subdomains, split
-    into words, and the path's parts; numbers count as one word."""
+    """Words of a url: host labels but the last and the usual subdomains, and the
+    path's parts, split into words; a number counts as one word."""
     labels = host.split(":")[0].split(".")
-    out = [w for label in labels[:-1] if label not in SUBDOMAINS for part in _PARTS.findall(label) for w in splits(part)]
-    out += [w for part in _PARTS.findall(path.lower()) for w in ([part] if len(part) <= LONGEST else [part[:LONGEST]])]
-    return ["0" if w.isdigit() else w for w in out]
+    parts = [part for label in labels[:-1] if label not in SUBDOMAINS for part in _PARTS.findall(label)] + _PARTS.findall(path.lower())
+    return ["0" if w.isdigit() else w for part in parts for w in ([part] if part.isdigit() else splits(part))]
 
 
 class Splitter:
@@ -82,11 +82,12 @@ class Splitter:
         self.logs, self.unknown, self.known = logs, unknown, {}
 
     def __call__(self, part: str) -> list[str]:
+        if len(part) > 255:  # rarely seen twice
+            return segment(part, self.logs, self.unknown)
         if part not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            # a name longer than 255 is no host label; its pieces are split in turn
-            self.known[part] = [w for i in range(0, len(part), 255) for w in segment(part[i : i + 255], self.logs, self.unknown)]
+            self.known[part] = segment(part, self.logs, self.unknown)
         return self.known[part]
 
 
@@ -130,10 +131,10 @@ def _scores(logs: dict[str, float], unknown: float, weight: np.ndarray, prior: f
 
 def vocabulary(pages: DataFrame) -> tuple[dict[str, float], float]:
     """Log probabilities of the ``VOCABULARY`` most frequent words (ties by word)
-    of hyphenated hosts' and paths' parts and of page texts, and of an unknown one;
+    of hyphenated hosts and path segments and of page texts, and of an unknown one;
     the seed words are always known."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]{0,2000}>|&[a-zA-Z#0-9]{1,8};", " ")
-    everything = F.lower(F.concat_ws(" ", text, F.when(F.col("host").contains("-"), F.col("host")), "path"))
+    everything = F.lower(F.concat_ws(" ", text, F.when(F.col("host").contains("-"), F.col("host")), F.array_join(F.regexp_extract_all("path", F.lit("[^/]*[-_+][^/]*"), F.lit(0)), " ")))
     words = pages.select(F.explode(F.split(everything, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, LONGEST)).where(~F.col("w").isin(*SUBDOMAINS))
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
     counts = {r.w: r.n for r in top}
