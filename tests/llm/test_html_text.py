@@ -33,6 +33,15 @@ def test_recurring_subtrees_go(spark):
     assert got[100].text == "" and got[101].text == "Legal text" and got[None].text == "k" and got[None].n_chars == 1
 
 
+def test_recurring_subtrees_in_articles_go(spark):
+    box = '<div class="x1"><p>Sign up for our letter</p></div>'
+    page = '<body><article><h2>Introduction</h2><p>Story {0}, see <a href="/a">About us</a> there</p>%s<p><a href="/b">More of us</a> |</p><table><tr><td>Total</td><td>n {0}</td></tr></table></article></body>' % box
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(30)] + [(100, "http://b.example/", page.format(100))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Introduction\nStory 7, see About us there\nTotal\nn 7"
+    assert "Sign up for our letter" in got[100] and "More of us |" in got[100]
+
+
 def test_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_text.main_text(pages).collect():

@@ -5,7 +5,9 @@ per host, the pages in which each hash occurs, and subtrees that recur across
 many pages of their host are deleted. Elements whose name, class, id or role
 says what they are (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts) go whatever their count. Where a page marks its article, only
-that is kept, and prose inside it is never taken for a template.
+that is kept, and what recurs inside it goes as well, but for headings, cells and
+items, which many articles share and which go only with what holds them. A
+recurring phrase stays where other words of its paragraph stay.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SCOPE = frozenset("html body div article section main aside nav header footer fo
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related|recommend\w*|trending|popular|share\w*|sharing|social\w*|comments?|commentlist|disqus|replies|respond|reviews?|footer\w*|foot|masthead|topbar|toolbar|pagination|pager|tags?|byline-links|skip\w*|hidden|search\w*)(?:$|[\s_-])", re.I
 )
+#: Parts of prose that are no template by themselves in an article.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption figcaption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form alertdialog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTR = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<![\w-])(hidden)(?![\w=-])")
@@ -140,43 +144,66 @@ def _content(nodes: list[Node]) -> Node | None:
     return None
 
 
-def candidates(nodes: list[Node]) -> set[int]:
-    """Digests of subtrees that may be deleted: all below the body but those that
-    hold, or are in, the marked article. A page without one offers all."""
+def _spared(nodes: list[Node]) -> set[int]:
+    """Ids of nodes that are never templates: the marked article, what it stands in
+    and its ``PARTS``."""
     main = _content(nodes)
-    spared = set()
-    if main is not None:
-        spared = {id(n) for n in _walk(main)}
-        up = main
-        while up is not None:
-            spared.add(id(up))
-            up = up.parent
+    if main is None:
+        return set()
+    spared = {id(n) for n in _walk(main) if n.name in PARTS}
+    up = main
+    while up is not None:
+        spared.add(id(up))
+        up = up.parent
+    return spared
+
+
+def candidates(nodes: list[Node]) -> set[int]:
+    """Digests of subtrees that may be deleted: all below the body but the spared."""
+    spared = _spared(nodes)
     return {n.digest for n in nodes if id(n) not in spared and n.name not in ("", "html", "body", "head")}
 
 
+_END = object()
+
+
 def blocks(root: Node, nodes: list[Node], recurring: frozenset[int]) -> list[str]:
-    main = _content(nodes)
-    spared = {id(n) for n in _walk(main)} if main is not None else set()
+    main, spared = _content(nodes), _spared(nodes)
     out: list[str] = []
     parts: list[str] = []
+    rest: list[str] = []  # what stands outside recurring phrases
+    inside = 0  # recurring phrases that are open
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
-        if text:
+        if text and (len(rest) == len(parts) or any(map(str.isalnum, html.unescape("".join(rest))))):
             out.append(text)
         parts.clear()
+        rest.clear()
 
     stack: list = [main if main is not None else root]
     while stack:
         n = stack.pop()
         if n is None:
             flush()
+        elif n is _END:
+            inside -= 1
         elif isinstance(n, str):
             parts.append(n)
+            if not inside:
+                rest.append(n)
         elif n.name == "br":
             parts.append(" ")
-        elif n.boiler or (n.digest in recurring and id(n) not in spared):
+            rest.append(" ")
+        elif n.boiler:
             flush() if n.name not in INLINE else None
+        elif n.digest in recurring and id(n) not in spared:
+            if n.name not in INLINE:
+                flush()
+            else:
+                inside += 1
+                stack.append(_END)
+                stack.extend(reversed(n.kids))
         else:
             if n.name not in INLINE:
                 flush()
