@@ -42,6 +42,20 @@ def test_recurring_subtrees_in_articles_go(spark):
     assert "Sign up for our letter" in got[100] and "More of us |" in got[100]
 
 
+def test_all_marked_parts_stay():
+    assert one("<body><p>x</p><article><p>a</p></article><div><article>b<article>c</article></article></div><aside><article>d</article></aside></body>") == "a\nb\nc"
+    assert one("<main><h1>Head</h1><p>Lead</p><article><p>a</p></article><nav>n</nav><p>End</p></main><p>x</p>") == "Head\nLead\na\nEnd"
+
+
+def test_copies_count_once_and_hot_hosts_lose_notices(spark):
+    copy = "<body><div><h1>One page</h1><p>Its text</p></div>%s</body>"
+    rows = [(i, "http://a.example/x", copy % f"<nav>{i}</nav>") for i in range(8)] + [(10 + i, "http://a.example/x", copy % "") for i in range(8)]
+    rows += [(100 + i, f"http://hot.example/{i}", f"<body><div><p>Story {i}</p></div>{'<div>We move</div>' if i % 10 == 0 else ''}</body>") for i in range(100)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One page\nIts text" for i in (0, 7, 10, 17))
+    assert all(got[100 + i] == f"Story {i}" for i in range(100))
+
+
 def test_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html_text.main_text(pages).collect():

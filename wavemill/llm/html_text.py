@@ -1,11 +1,11 @@
 """Main text of web pages by removing site templates.
 
 Each page is parsed into elements. An element's subtree is hashed; Spark counts,
-per host, the pages in which each hash occurs, and subtrees that recur across
-many pages of their host are deleted. Elements whose name, class, id or role
+per host, the different texts that each hash is surrounded by, so that copies of a
+page count once, and subtrees that recur in many surroundings are deleted. Elements whose name, class, id or role
 says what they are (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts) go whatever their count. Where a page marks its article, only
-that is kept, and what recurs inside it goes as well, but for headings, cells and
+comments, scripts) go whatever their count. Where a page marks its main part or
+articles, all of those are kept and nothing else, and what recurs inside it goes as well, but for headings, cells and
 items, which many articles share and which go only with what holds them. A
 recurring phrase stays where other words of its paragraph stay.
 """
@@ -52,6 +52,7 @@ class Node:
     parent: Node | None
     kids: list = field(default_factory=list)  # Node or str
     digest: int = 0
+    words: int = 0  # sum of the hashes of its texts outside template elements
 
 
 def _boiler(name: str, attrs: str) -> bool:
@@ -122,53 +123,79 @@ def _walk(root: Node) -> Iterator[Node]:
         stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
 
 
+_ALL = (1 << 64) - 1
+
+
+def _text_hash(text: str) -> int:
+    text = text.strip(" ")
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) if text else 0
+
+
 def hash_subtrees(root: Node) -> list[Node]:
-    """Sets each node's digest from its label, its texts and its children's digests."""
+    """Sets each node's digest from its label, its texts and its children's digests,
+    and the sum of its texts' hashes."""
     nodes = list(_walk(root))
     for n in reversed(nodes):
         body = [f"{k.digest:x}" if isinstance(k, Node) else _SPACE.sub(" ", k) for k in n.kids]
+        if not n.boiler:
+            n.words = sum(k.words if isinstance(k, Node) else _text_hash(t) for k, t in zip(n.kids, body)) & _ALL
         n.digest = xxhash.xxh64_intdigest("\x00".join([n.label, *body]).encode("utf-8", "surrogatepass")) - (1 << 63)
     return nodes
 
 
-def _content(nodes: list[Node]) -> Node | None:
-    """The marked article: the first article or main outside template elements."""
-    for wanted in ("article", "main"):
-        for n in nodes:
-            if n.name == wanted:
+def _content(root: Node) -> list[Node]:
+    """The marked parts: main elements and articles outside template elements and
+    outside each other, in order."""
+    found, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.name in ("main", "article"):
+            found.append(n)
+        else:
+            stack.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not k.boiler)
+    return found
+
+
+def _spared(content: list[Node]) -> set[int]:
+    """Ids of nodes that are never templates: mains and articles, what they stand in
+    and, within them, ``PARTS``."""
+    spared = set()
+    for top in content:
+        for n in _walk(top):
+            if n.name in PARTS:
+                spared.add(id(n))
+            elif n.name in ("main", "article"):
                 up = n
-                while up is not None and not up.boiler:
+                while up is not None and id(up) not in spared:
+                    spared.add(id(up))
                     up = up.parent
-                if up is None:
-                    return n
-    return None
-
-
-def _spared(nodes: list[Node]) -> set[int]:
-    """Ids of nodes that are never templates: the marked article, what it stands in
-    and its ``PARTS``."""
-    main = _content(nodes)
-    if main is None:
-        return set()
-    spared = {id(n) for n in _walk(main) if n.name in PARTS}
-    up = main
-    while up is not None:
-        spared.add(id(up))
-        up = up.parent
     return spared
 
 
-def candidates(nodes: list[Node]) -> set[int]:
-    """Digests of subtrees that may be deleted: all below the body but the spared."""
-    spared = _spared(nodes)
-    return {n.digest for n in nodes if id(n) not in spared and n.name not in ("", "html", "body", "head")}
+def candidates(root: Node) -> dict[int, set[int]]:
+    """Digests of subtrees that may be deleted, all with text below the body but the
+    spared and what goes by name, each with the sums of the page's other texts."""
+    content = _content(root)
+    spared = _spared(content)
+    total = sum(n.words for n in content or [root])
+    found: dict[int, set[int]] = {}
+    stack = [(root, not content)]
+    tops = {id(n) for n in content}
+    while stack:
+        n, shown = stack.pop()
+        shown = shown or id(n) in tops
+        if n.words and id(n) not in spared and n.name not in ("", "html", "body", "head"):
+            found.setdefault(n.digest, set()).add((total - n.words if shown else total) & _ALL)
+        stack.extend((k, shown) for k in n.kids if isinstance(k, Node) and not k.boiler)
+    return found
 
 
 _END = object()
 
 
 def blocks(root: Node, nodes: list[Node], recurring: frozenset[int]) -> list[str]:
-    main, spared = _content(nodes), _spared(nodes)
+    content = _content(root)
+    spared = _spared(content)
     out: list[str] = []
     parts: list[str] = []
     rest: list[str] = []  # what stands outside recurring phrases
@@ -181,7 +208,7 @@ def blocks(root: Node, nodes: list[Node], recurring: frozenset[int]) -> list[str
         parts.clear()
         rest.clear()
 
-    stack: list = [main if main is not None else root]
+    stack: list = content[::-1] or [root]
     while stack:
         n = stack.pop()
         if n is None:
@@ -215,12 +242,17 @@ def blocks(root: Node, nodes: list[Node], recurring: frozenset[int]) -> list[str
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hosts, found = [], []
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            some = candidates(hash_subtrees(parse(page or "")))
-            hosts += [host] * len(some)
-            found += some
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "digest"])
+        hosts, bodies, digests, others = [], [], [], []
+        for host, body, page in zip(*(b.column(i).to_pylist() for i in range(3))):
+            root = parse(page or "")
+            hash_subtrees(root)
+            for digest, rest in candidates(root).items():
+                # a page vouches for a subtree once
+                hosts.append(host)
+                bodies.append(body)
+                digests.append(digest)
+                others.append(min(rest) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (hosts, bodies, digests, others)], ["site", "body", "digest", "other"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,21 +268,28 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
 
 
-def main_text(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+def main_text(pages: DataFrame, share: float = 0.0, least: int = 5) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, text, n_chars)``, a row per
     input row.
 
-    A subtree is a template if it occurs on at least ``least`` pages and
-    ``share`` of the pages of its host; so a host has at most its mean number of
-    subtrees a page divided by ``share`` of them, and they travel with the
-    host's pages. Null html is empty and gives an empty text; a null or hostless
-    url belongs to the empty host. Repeated rows count as pages of their own;
-    other columns are ignored; an empty table gives no rows.
+    A subtree is a template if it occurs on pages of its host with at least
+    ``least`` different other texts (template elements aside): copies of a page,
+    and pages that differ only in it or in menus and the like, count once. This
+    number does not grow with the host unless ``share`` is given: then the
+    different other texts must also be that share of the host's different pages.
+    A page travels with the templates that occur on it, never with its host's. Null
+    html is empty and gives an empty text; a null or hostless url belongs to the
+    empty host. Other columns are ignored; an empty table gives no rows.
     """
     prepare(pages.sparkSession)
-    pages = spread(pages.select("page_id", "url", "html")).withColumn("host", host_of())
-    size = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = pages.select("host", "html").mapInArrow(_hashes, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    kept = seen.join(size, "host").where(F.col("n") >= F.col("pages") * share)
-    templates = cut(kept.groupBy("host").agg(F.collect_list("digest").alias("recurring")))
-    return pages.join(templates, "host", "left").select("page_id", "url", "html", "recurring").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    pages = spread(pages.select("page_id", "url", "html"))
+    site = F.xxhash64(host_of())
+    body = F.when(F.length("html") > 0, F.xxhash64(host_of(), "html"))
+    seen = cut(pages.select(site.alias("site"), body.alias("body"), "html").where("body is not null").mapInArrow(_hashes, "site long, body long, digest long, other long"))
+    kept = seen.select("site", "digest", "other").distinct().groupBy("site", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    if share:
+        size = seen.select("site", "body").distinct().groupBy("site").agg(F.count("*").alias("pages"))
+        kept = kept.join(size, "site").where(F.col("n") >= F.col("pages") * share)
+    kept = cut(kept.select("site", "digest"))  # of known size, so that few are broadcast
+    templates = cut(seen.join(kept, ["site", "digest"]).groupBy("body").agg(F.collect_set("digest").alias("recurring")))
+    return pages.withColumn("body", body).join(templates, "body", "left").select("page_id", "url", "html", "recurring").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
