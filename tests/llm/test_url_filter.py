@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+import zlib
 
 from wavemill.llm import url_filter as uf
 
@@ -70,5 +71,18 @@ def test_path_parts_are_split(spark):
     assert got[10].verdict == "allow"
 
 
+def test_all_words_count(spark):
+    common = ["q" + "".join(chr(97 + i // 16**k % 16) for k in range(4)) for i in range(50_500)]
+    rows = [(0, "http://zebrulonwyvertix.org/", " ".join(common * 2) + " zebrulon wyvertix")]
+    assert uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).first().words == "zebrulon wyvertix"
+    # two words that crc32 puts in one of 65,536 slots keep their own counts
+    at = zlib.crc32(b"gardenia") % 65536
+    other = next(w for w in map("".join, itertools.product("abcdefgh", repeat=8)) if zlib.crc32(w.encode()) % 65536 == at)
+    urls = ["http://x.org/casino/gardenia"] * 10 + [f"http://x.org/{other}"] * 10 + ["http://x.org/gardenia"]
+    rows = [(i, u, f"gardenia {other}") for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 21 and got[20].words == "x gardenia" and got[10].words == f"x {other}" and got[20].log_odds > got[10].log_odds + 1
+
+
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

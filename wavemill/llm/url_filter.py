@@ -6,7 +6,8 @@ of words, counted over hyphenated hosts, hyphenated path segments and page texts
 by Viterbi; a multinomial naive Bayes model then scores the words of host and path. Its
 training urls are those whose separated words hold a seed word of an unwanted
 kind (block) and those without one (allow), so it carries the seeds' verdict
-over to words that occur with them.
+over to words that occur with them. All counts are exact Spark tables; urls are
+dealt to chunks, and a chunk gets the counts of the words that can occur in it.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import prepare, spread
+from .base import cut, prepare, spread
 
 #: Seed words of unwanted hosts and paths.
 SEEDS = "adult ads bet bets betting bingo casino cheap crack dating escort gambling jackpot keygen loan lottery malware nude payday phishing pharma pharmacy pills poker porn porno replica sex slots spam torrent track tracker viagra warez xxx".split()
 #: Fixed values: (host, path, verdict) rules.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Words of the unigram model, hashed word slots of the Bayes model, longest word of a split.
-VOCABULARY, SLOTS, LONGEST = 50_000, 1 << 16, 24
+#: Longest word of a split, bytes of a chunk of urls.
+LONGEST, CHUNK_BYTES = 24, 4 << 20
 SUBDOMAINS = frozenset("www m blog amp mobile web".split())
 
 
@@ -69,12 +70,15 @@ def segment(name: str, logs: dict[str, float], unknown: float) -> list[str]:
 _PARTS = re.compile(r"[^\W_]+")
 
 
-def tokens(host: str, path: str, splits) -> list[str]:
-    """Words of a url: host labels but the last and the usual subdomains, and the
-    path's parts, split into words; a number counts as one word."""
+def named(host: str, path: str) -> list[str]:
+    """Parts of a url: host labels but the last and the usual subdomains, and the path's."""
     labels = host.split(":")[0].split(".")
-    parts = [part for label in labels[:-1] if label not in SUBDOMAINS for part in _PARTS.findall(label)] + _PARTS.findall(path.lower())
-    return ["0" if w.isdigit() else w for part in parts for w in ([part] if part.isdigit() else splits(part))]
+    return [part for label in labels[:-1] if label not in SUBDOMAINS for part in _PARTS.findall(label)] + _PARTS.findall(path.lower())
+
+
+def tokens(host: str, path: str, splits) -> list[str]:
+    """Words of a url: its parts split into words; a number counts as one word."""
+    return ["0" if w.isdigit() else w for part in named(host, path) for w in ([part] if part.isdigit() else splits(part))]
 
 
 class Splitter:
@@ -91,59 +95,54 @@ class Splitter:
         return self.known[part]
 
 
-def slot(word: str) -> int:
-    import zlib
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (chunk, word that can occur) of a batch's urls."""
+    for b in batches:
+        parts = {(c, part) for c, host, path in zip(*(b.column(i).to_pylist() for i in range(3))) for part in named(host, path) if not part.isdigit()}
+        found = set()
+        for c, part in parts:
+            found.update((c, part[i:j]) for i in range(len(part)) for j in range(i + 1, min(len(part), i + LONGEST) + 1))
+        some = list(found)
+        for lo in range(0, len(some), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some[lo : lo + 65536]], pa.int32()), pa.array([w for _, w in some[lo : lo + 65536]], pa.string())], ["of", "w"])
+
 
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
+_SAID = "chunk int, page_id long, host string, path string, words string"
 
 
-def _training(logs: dict[str, float], unknown: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seeds = Splitter(logs, unknown), frozenset(SEEDS)
-        counts = np.zeros((2, SLOTS + 1), np.int64)
-        for b in batches:
-            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = tokens(host, path, split)
-                bad = int(not seeds.isdisjoint(words))
-                counts[bad, SLOTS] += 1
-                for w in words:
-                    counts[bad, slot(w)] += 1
-        for bad in (0, 1):
-            some = np.flatnonzero(counts[bad])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), bad, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[bad, some])], ["bad", "slot", "n"])
+def _tokens(total: int):
+    def run(key: tuple, urls: pa.Table, known: pa.Table) -> pa.Table:
+        logs = {w: float(np.log(n / total)) for w, n in zip(known.column("w").to_pylist(), known.column("n").to_pylist())}
+        split = Splitter(logs, float(np.log(1 / total)))
+        words = [" ".join(tokens(host, path, split)) for host, path in zip(urls.column("host").to_pylist(), urls.column("path").to_pylist())]
+        return urls.append_column("words", pa.array(words, pa.string()))
 
     return run
 
 
-def _scores(logs: dict[str, float], unknown: float, weight: np.ndarray, prior: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(logs, unknown)
-        for b in batches:
-            odds, shown = [], []
-            for host, path in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = tokens(host, path, split)
-                odds.append(prior + sum(float(weight[slot(w)]) for w in words))
-                shown.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds, pa.float64()), pa.array(shown, pa.string())], [*b.schema.names, "log_odds", "words"])
+def _scores(prior: float):
+    def run(key: tuple, said: pa.Table, known: pa.Table) -> pa.Table:
+        weight = dict(zip(known.column("w").to_pylist(), known.column("weight").to_pylist()))
+        odds = [prior + sum(weight[w] for w in words.split()) for words in said.column("words").to_pylist()]
+        return said.drop_columns("chunk").append_column("log_odds", pa.array(odds, pa.float64()))
 
     return run
 
 
-def vocabulary(pages: DataFrame) -> tuple[dict[str, float], float]:
-    """Log probabilities of the ``VOCABULARY`` most frequent words (ties by word)
-    of hyphenated hosts and path segments and of page texts, and of an unknown one;
-    the seed words are always known."""
+def vocabulary(pages: DataFrame) -> tuple[DataFrame, int]:
+    """Counts (w, n) of all words of hyphenated hosts and path segments and of page
+    texts, and the number that probabilities divide by; an unknown word counts 1
+    and the seed words are always known."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]{0,2000}>|&[a-zA-Z#0-9]{1,8};", " ")
     everything = F.lower(F.concat_ws(" ", text, F.when(F.col("host").contains("-"), F.col("host")), F.array_join(F.regexp_extract_all("path", F.lit("[^/]*[-_+][^/]*"), F.lit(0)), " ")))
     words = pages.select(F.explode(F.split(everything, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, LONGEST)).where(~F.col("w").isin(*SUBDOMAINS))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
-    counts = {r.w: r.n for r in top}
-    for w in SEEDS:
-        counts[w] = max(counts.get(w, 0), 20)
-    total = sum(counts.values()) + len(counts)
+    counts = cut(words.groupBy("w").agg(F.count("*").alias("n")))
+    seen = {r.w: r.n for r in counts.where(F.col("w").isin(*SEEDS)).collect()}
+    seeds = F.create_map(*[F.lit(x) for w in SEEDS for x in (w, max(seen.get(w, 0), 20))])
+    counts = counts.where(~F.col("w").isin(*SEEDS)).unionByName(pages.sparkSession.range(1).select(F.explode(seeds).alias("w", "n")))
+    total = counts.agg(F.sum("n") + F.count("*")).first()[0]
     # single letters and pairs would swallow every name
-    logs = {w: float(np.log(n / total)) for w, n in counts.items() if len(w) > 2 or n * 200 > total}
-    return logs, float(np.log(1 / total))
+    return counts.where((F.length("w") > 2) | (F.col("n") * 200 > total)), int(total)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -158,20 +157,27 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     prepare(pages.sparkSession)
     host, path = split_url(F.col("url"))
     parts = spread(pages.select("page_id", "url", "html")).select("page_id", host.alias("host"), path.alias("path"), "html")
-    logs, unknown = vocabulary(parts)
-    urls = parts.select("page_id", "host", "path")
-    learned = urls.select("host", "path").mapInArrow(_training(logs, unknown), "bad int, slot int, n long").groupBy("bad", "slot").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, SLOTS + 1))
-    for r in learned:  # at most 2 x (SLOTS + 1) rows
-        counts[r.bad, r.slot] = r.n
-    if counts[1, SLOTS]:
-        used = max(1, int((counts[:, :SLOTS].sum(0) > 0).sum()))
-        rate = (counts[:, :SLOTS] + 1) / (counts[:, :SLOTS].sum(1, keepdims=True) + used)
-        weight = np.log(rate[1] / rate[0])
-        prior = float(np.log((counts[1, SLOTS] + 1) / (counts[0, SLOTS] + 1)))
+    # dealt by a random key, so that no host or url is a task of its own
+    urls = cut(parts.select("page_id", "host", "path", F.xxhash64(F.monotonically_increasing_id()).alias("salt")))
+    size = urls.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    chunks = max(pages.sparkSession.sparkContext.defaultParallelism, size // CHUNK_BYTES)
+    urls = urls.select(F.pmod("salt", F.lit(chunks)).cast("int").alias("chunk"), "page_id", "host", "path")
+    counts, total = vocabulary(parts)
+    known = urls.select("chunk", "host", "path").mapInArrow(_substrings, "of int, w string").distinct().join(counts, "w").select("of", "w", "n")
+    said = cut(urls.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_tokens(total), _SAID))
+    listed = F.array_remove(F.split("words", " "), "")
+    bad = F.arrays_overlap(listed, F.array(*map(F.lit, SEEDS))).cast("long")
+    blocked, rows = said.agg(F.sum(bad), F.count("*")).first()
+    if blocked:
+        spoken = said.select(bad.alias("bad"), F.explode(listed).alias("w")).groupBy("w")
+        learned = cut(spoken.agg(F.sum("bad").alias("n1"), F.sum(1 - F.col("bad")).alias("n0")))
+        n1, n0, used = learned.agg(F.sum("n1"), F.sum("n0"), F.count("*")).first()
+        weight = F.log((F.col("n1") + 1) / (n1 + used)) - F.log((F.col("n0") + 1) / (n0 + used))
+        weights = said.select(F.col("chunk").alias("of"), F.explode(listed).alias("w")).distinct().join(learned.select("w", weight.alias("weight")), "w")
+        prior = float(np.log((blocked + 1) / (rows - blocked + 1)))
+        scored = said.groupBy("chunk").cogroup(weights.groupBy("of")).applyInArrow(_scores(prior), "page_id long, host string, path string, words string, log_odds double")
     else:
-        weight, prior = np.zeros(SLOTS), -1.0
-    scored = urls.mapInArrow(_scores(logs, unknown, weight.astype(np.float32), prior), "page_id long, host string, path string, log_odds double, words string")
+        scored = said.withColumn("log_odds", F.lit(-1.0))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "log_odds", "words")
