@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +54,26 @@ def transducer_walk(steps: Column, blank: int, frames: Column) -> Column:
         return F.struct(F.when(here, moved).otherwise(acc["t"]).alias("t"), F.when(here, out).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def stream_walk(blank: int):
+    """``transducer_walk`` for ``mapInArrow`` over (source, frame, token, dur) rows
+    sorted by source and frame: gives (source, frame, token, n), n the tokens that
+    the frame emits, and holds one batch whatever a source's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, t = object(), 0
+        for b in batches:
+            out = []
+            for source, frame, token, dur in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if source != key:
+                    key, t = source, 0
+                if frame != t:
+                    continue
+                if token != blank:
+                    out.append((source, frame, token, 1 if dur > 0 else PER_FRAME))
+                t += dur if dur > 0 else 1
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["source_id", "frame", "token", "n"])
+
+    return run

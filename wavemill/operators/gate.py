@@ -8,9 +8,11 @@ an open segment ends with the audio. The negative threshold is 0.15 below.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,7 +79,44 @@ def split_long(config: GateConfig = GateConfig(), by: str = "source_id"):
     return run
 
 
-def walk(scored, threshold: float, neg: float, silence: int, speech: int, cap: int | None, total: int) -> Iterator[tuple[int, int]]:
+def split_stream(config: GateConfig = GateConfig(), by: str = "source_id"):
+    """``split_long`` for ``mapInArrow`` over (by, i, prob) rows sorted by source and
+    frame: a source of any length takes the memory of one batch."""
+    neg = config.threshold - config.neg_gap
+    silence, speech = samples_of_ms(config.min_silence), samples_of_ms(config.min_speech)
+    cap = samples_of_ms(config.max_speech) - config.frame - 2 * samples_of_ms(config.pad)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = [0]
+
+        def scored(rows):
+            for _, i, p in rows:
+                last[0] = i
+                yield i * config.frame, float("nan") if p is None else p
+
+        frames = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3))))
+        for source, rows in groupby(frames, key=lambda row: row[0]):
+            cuts = walk(scored(rows), config.threshold, neg, silence, speech, cap, lambda: (last[0] + 1) * config.frame)
+            for n, (a, b) in enumerate(cuts):
+                yield source, n, a, b
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [by, "segment", "start_sample", "end_sample"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in found(batches):
+            held.append(row)
+            if len(held) == 4096:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
+
+    return run
+
+
+def walk(scored, threshold: float, neg: float, silence: int, speech: int, cap: int | None, total: int | Callable[[], int]) -> Iterator[tuple[int, int]]:
     start = pending = None
     for at, p in scored:
         if start is not None and cap is not None and at - start > cap:
@@ -92,5 +131,6 @@ def walk(scored, threshold: float, neg: float, silence: int, speech: int, cap: i
                 if pending - start > speech:
                     yield int(start), int(pending)
                 start = pending = None
-    if start is not None and total - start > speech:
-        yield int(start), int(total)
+    end = total() if callable(total) else total
+    if start is not None and end - start > speech:
+        yield int(start), int(end)

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+
+def _live(max_sources: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, live = object(), 1
+        for b in batches:
+            out = []
+            for k, step in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if k != key:
+                    key, live = k, 1
+                live = max(1, min(max_sources, live + step))
+                out.append(live)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "live"])
+
+    return run
 
 
 def slots(commands: DataFrame, by: str, order: list[str], max_sources: int = 2) -> DataFrame:
@@ -14,21 +33,12 @@ def slots(commands: DataFrame, by: str, order: list[str], max_sources: int = 2)
     is reached; ids are never used twice, and a refused open takes none. Replies:
     opened, source_limit, closed, source_not_found, none.
 
-    The number of live sources is a walk held between 1 and the limit. Steps
-    compose as functions x -> min(hi, max(lo, x + s)), and those are closed under
-    composition, so a session folds as one array; only its keys are gathered.
+    The number of live sources is a walk held between 1 and the limit. It is made
+    over sorted rows as they stream by, so a session of any length takes the
+    memory of one batch; a session is one task.
     """
-    key = F.struct(*[F.col(c) for c in order], F.col("k"))
-    folded = commands.groupBy(by).agg(F.sort_array(F.collect_list(key)).alias("steps"))
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(1).cast("long").alias("live"), empty.alias("out"))
-
-    def step(acc, x):
-        live = F.greatest(F.lit(1), F.least(F.lit(max_sources), acc["live"] + x["k"])).cast("long")
-        return F.struct(live.alias("live"), F.concat(acc["out"], F.array(live)).alias("out"))
-
-    walked = folded.select(by, F.explode(F.arrays_zip("steps", F.aggregate("steps", start, step, lambda acc: acc["out"]).alias("live"))).alias("z"))
-    flat = walked.select(by, *[F.col(f"z.steps.{c}").alias(c) for c in order], F.col("z.steps.k").alias("k"), F.col("z.live").alias("live"))
+    rows = commands.select(by, *order, F.col("k").cast("long").alias("k"))
+    flat = rows.repartition(by).sortWithinPartitions(by, *order, "k").mapInArrow(_live(max_sources), rows.schema.add("live", LongType()))
     w = W.partitionBy(by).orderBy(*order)
     was = F.coalesce(F.lag("live").over(w), F.lit(1))
     flat = flat.withColumn("opened", (F.col("live") > was).cast("long")).withColumn("closed", F.col("live") < was)

@@ -184,7 +184,8 @@ def vad_pad_clamp(spark, d):
 @query()
 def vad_max_split(spark, d):
     config = GateConfig(max_speech=600_000_000)
-    return frames(spark, d).groupBy("source_id").applyInPandas(gate.split_long(config), "source_id long, segment long, start_sample long, end_sample long")
+    f = frames(spark, d).select("source_id", "i", "prob").repartition("source_id").sortWithinPartitions("source_id", "i")
+    return f.mapInArrow(gate.split_stream(config), "source_id long, segment long, start_sample long, end_sample long")
 
 
 @query(f"""WITH {GATE} SELECT f.source_id, f.i, greatest((f.i + 1) * 512 - 480, 0) keep_from FROM frames f WHERE NOT EXISTS (SELECT 1 FROM gated g WHERE g.source_id = f.source_id AND f.i * 512 >= g.start_sample AND f.i * 512 < g.end_sample)""")
@@ -227,10 +228,8 @@ w AS (SELECT source_id, CAST(0 AS BIGINT) t FROM len UNION ALL SELECT w.source_i
 SELECT w.source_id, w.t AS frame, s.token, CAST(CASE WHEN s.token = 6 THEN 0 WHEN s.dur > 0 THEN 1 ELSE 10 END AS BIGINT) n FROM w JOIN steps s ON s.source_id = w.source_id AND s.t = w.t WHERE s.token <> 6""")
 def tdt_walk(spark, d):
     c = chunks(spark, d).select("source_id", "seq", "vec_id")
-    step = F.struct(F.col("seq").alias("frame"), (F.col("vec_id") % 7).alias("token"), (clock.div(F.col("vec_id"), 7) % 3).alias("dur"))
-    walks = c.groupBy("source_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    out = walks.select("source_id", F.explode(tokens.transducer_walk(F.col("steps"), 6, F.size("steps").cast("long"))).alias("o"))
-    return out.groupBy("source_id", F.col("o.frame").alias("frame"), F.col("o.token").alias("token")).agg(F.count("*").alias("n"))
+    steps = c.select("source_id", F.col("seq").alias("frame"), (F.col("vec_id") % 7).alias("token"), (clock.div(F.col("vec_id"), 7) % 3).alias("dur"))
+    return steps.repartition("source_id").sortWithinPartitions("source_id", "frame").mapInArrow(tokens.stream_walk(6), "source_id long, frame long, token long, n long")
 
 
 _DETOK = """SELECT doc_id, regexp_replace(replace(array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) = 2 THEN '<' || w || '>' WHEN w LIKE 'th%' THEN '▁' || w ELSE w END), lambda t: NOT (t LIKE '<%' AND t LIKE '%>') OR t = '<unk>'), ''), '▁', '{r}'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS detok FROM documents"""
