@@ -88,3 +88,20 @@ def test_pieces(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), P.path("word_bpe_49k.json")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_unit_ids_equal_the_tokenizers(name):
+    import pyarrow as pa
+    from wavemill.llm.textnum import string_parts
+
+    ids_of = packing.UnitIds(P.path(name))
+    assert ids_of.by_unit == (name == "word_bpe_49k.json")
+    rnd = random.Random(11)
+    signs = [*"abHTWYJKIis tmld'.,!?-_|<>0123 \t\n\x0b\x1c\x85\xa0éÉßÿ÷×İıΣσςÅK가日ू😀=\x00", "́", "̇", "̱", "̊", "̸", "̈", "⃗", "<|endoftext|>", "<|EndOfText|>", "'s", "'LL", ". "]
+    texts = [None, "", "İ.", "." * 5000, "H̱."] + ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 30))) for _ in range(20000 if ids_of.by_unit else 200)]
+    column = pa.array(texts, pa.string())
+    got, counts = ids_of(*string_parts(column), column)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for i, t in enumerate(texts):
+        assert got[at[i] : at[i + 1]].tolist() == ids_of.tok.encode(t or "", add_special_tokens=False).ids, repr(t)

@@ -13,6 +13,8 @@ from its length and its rank among pieces of that length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut, prepare, spread
+from .textnum import IS_WORD, LOWER, Words, slices, string_parts, words
 
 Plan = list[tuple[tuple[int, ...], int]]  # (lengths in a bin, number of such bins)
 
@@ -168,89 +171,180 @@ def plan_rows(plan: Plan) -> pd.DataFrame:
 # -- Spark stages -------------------------------------------------------------------
 
 
-#: Runs of non-space bytes kept with their ids by a Python worker, in each of two generations.
-CACHE = 600_000
-
-
-class RunIds:
-    """Packed ids of runs of non-space bytes. White space always ends a token, so
-    a text's ids are its runs' ids in turn; and so does the change from a letter
-    to a final full stop or comma, so a run is looked up without them too."""
+#: Units whose ids a Python worker keeps.
+CACHE = 4_000_000
+#: The normalizer and pre-tokenizer under which texts may be cut into units.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_ALNUM, _MARK = np.zeros(256, bool), np.ones(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[128:] = False
+_MARK &= ~_ALNUM & IS_WORD
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer file drops white space, lower-cases and ends tokens at
+    the borders that :class:`UnitIds` cuts at."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    first = pre[0].get("pattern", {}).get("Regex") == SPLIT and pre[0].get("behavior") == "Removed" and pre[0].get("invert")
+    bytewise = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    whole = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) and t["content"].startswith("<|") for t in spec["added_tokens"])
+    return bool(spec["normalizer"] == NORMALIZER and first and bytewise and whole and spec["model"].get("end_of_word_suffix") == "</w>")
+
+
+class UnitIds:
+    """Token ids of texts, unit by unit, with the ids of known units kept.
+
+    White space always ends a token, and so does the change from an ASCII letter or
+    digit to the ASCII marks that end a run. A unit is thus a run of non-space bytes
+    without its last marks, or those marks; its ids are those of its lower case. Runs
+    with a combining mark (which could join a capital before it is lower-cased) or
+    with ``<|`` (maybe a special token) are units as they are. Units are known by a
+    64-bit hash. Other tokenizers get whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def __call__(self, runs: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.young.__getitem__, runs))
-        except KeyError:
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
-            self.learn(set(runs).difference(self.young))
-            return b"".join(map(self.young.__getitem__, runs))
-
-    def learn(self, runs: set[bytes]) -> None:
-        parts = {}
-        for r in runs:
-            if r in self.old:
-                self.young[r] = self.old[r]
-                continue
-            core = r.rstrip(b".,")
-            if b"<|" in r:  # may hold a special token, which lower case would change
-                parts[r] = (r,)
-            elif core and core != r and core.decode("utf-8", "replace")[-1].isalpha():
-                parts[r] = (core.lower(), r[len(core) :])
-            else:
-                parts[r] = (r.lower(),)  # the tokenizer's ids are those of lower case
-        need = {p for ps in parts.values() for p in ps if p not in self.young}
-        new = [p for p in need if p not in self.old]
-        self.young.update((p, self.old[p]) for p in need if p in self.old)
-        if new:
-            for p, e in zip(new, self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)):
-                self.young[p] = np.array(e.ids, np.uint32).tobytes()
-        for r, ps in parts.items():
-            self.young[r] = b"".join(map(self.young.__getitem__, ps))
+        self.by_unit = splits_words(path)
+        if self.by_unit:
+            vocabulary = self.tok.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
+
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and their numbers. Units of plain letters
+        are single pre-tokens, so they are encoded many at a time and told apart by
+        their last tokens."""
+        texts = [u.decode("utf-8", "replace") for u in units]
+        plain = np.array([_PLAIN.fullmatch(t) is not None for t in texts], bool)
+        words = [t for t, p in zip(texts, plain) if p]
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        joined = np.fromiter((i for e in self.tok.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids), np.uint32)
+        stops = np.flatnonzero(self.ends[joined]) + 1
+        others = [e.ids for e in self.tok.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)]
+        size = np.zeros(len(units), np.int64)
+        size[plain] = np.diff(stops, prepend=0)
+        size[~plain] = [len(x) for x in others]
+        ids = np.zeros(size.sum(), np.uint32)
+        of_plain = np.repeat(plain, size)
+        ids[of_plain] = joined
+        ids[~of_plain] = [i for x in others for i in x]
+        return ids, size
+
+    def learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        ids, size = self.encode(units)
+        first = len(self.pool) + np.cumsum(size) - size
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.first, self.size = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.pool = np.concatenate((self.pool, ids))
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        w = words(data, offsets, lower=False)
+        low = LOWER[w.buf]
+        held = np.flatnonzero((w.buf[:-1] == 60) & (w.buf[1:] == 124) | (w.buf[:-1] & 0xFE == 0xCC))
+        rare = np.unique(np.searchsorted(w.start, held, "right") - 1)
+        for i in rare:
+            low[w.start[i] : w.end[i]] = w.buf[w.start[i] : w.end[i]]
+        cut = w.end.copy()
+        open_ = np.flatnonzero(_MARK[w.buf[w.end - 1]])
+        for _ in range(32):  # runs with more marks are units as they are
+            cut[open_] -= 1
+            open_ = open_[cut[open_] > w.start[open_]]
+            open_ = open_[_MARK[w.buf[cut[open_] - 1]]]
+        cuts = (cut > w.start) & (cut < w.end) & _ALNUM[w.buf[np.maximum(cut - 1, 0)]] if len(w.end) else np.zeros(0, bool)
+        cuts[rare] = False
+        n = 1 + cuts
+        row, start, end = np.repeat(w.row, n), np.repeat(w.start, n), np.repeat(w.end, n)
+        tails = (np.cumsum(n) - 1)[cuts]
+        start[tails] = end[tails - 1] = cut[cuts]
+        return Words(low, w.offsets, start, end, row, np.bincount(row, minlength=len(w.counts)))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts, and the number of each text's."""
+        if not self.by_unit:
+            found = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
+        u = self.units(data, offsets)
+        hashes = u.hashes()
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
+        distinct, where = ranked[first], order[first]
+        if len(self.hashes) > CACHE:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            raw = u.buf.tobytes()
+            self.learn(distinct[new], [raw[s:e] for s, e in zip(u.start[where[new]].tolist(), u.end[where[new]].tolist())])
+            at = np.searchsorted(self.hashes, distinct)
+        of = np.zeros(len(order), np.int64)
+        of[order] = at[np.cumsum(first) - 1]
+        size = self.size[of].astype(np.int64)
+        before = np.cumsum(size) - size
+        ids = self.pool[np.repeat(self.first[of] - before, size) + np.arange(size.sum())]
+        return ids, np.bincount(u.row, size, len(offsets) - 1).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
-def _run_ids(path: str) -> RunIds:
-    return RunIds(path)
+def _unit_ids(path: str) -> UnitIds:
+    return UnitIds(path)
 
 
 def _pieces(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ids_of = _run_ids(path)
-        ranks: dict[int, int] = {}
-        part = TaskContext.get().partitionId()
-        end = int(end_id).to_bytes(4, "little")
+        ids_of = _unit_ids(path)
         for batch in batches:
-            rows = []
-            for lo in range(0, len(batch), 64):
-                ids, texts = (c.slice(lo, 64).to_pylist() for c in batch.columns)
-                for doc, text in zip(ids, texts):
-                    packed = ids_of((text or "").encode("utf-8", "surrogatepass").split()) + end
-                    n = len(packed) // 4
-                    for piece, start in enumerate(range(0, n, size)):
-                        some = packed[start * 4 : (start + size) * 4]
-                        length = len(some) // 4
-                        rank = ranks.get(length, 0)
-                        ranks[length] = rank + 1
-                        rows.append((doc, piece, start, length, zlib.crc32(some), part, rank))
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
-            )
+            data, offsets = string_parts(batch.column(1))
+            for lo, hi in slices(offsets):
+                ids, counts = ids_of(data, offsets[lo : hi + 1], batch.column(1).slice(lo, hi - lo))
+                ends = np.cumsum(counts + 1)
+                packed = np.full(len(ids) + hi - lo, end_id, "<u4")
+                inner = np.ones(len(packed), bool)
+                inner[ends - 1] = False
+                packed[inner] = ids
+                total = counts + 1
+                pieces = -(-total // size)
+                row = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+                start = piece * size
+                length = np.minimum(total[row] - start, size)
+                at = ((ends - total)[row] + start) * 4
+                view = memoryview(packed.tobytes())
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     return run
 
 
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partition and the rank among its rows of equal length, of rows sorted by length."""
+    from pyspark import TaskContext
+
+    part, now, seen = TaskContext.get().partitionId(), None, 0
+    for b in batches:
+        length = b.column(3).to_numpy()
+        if not len(length):
+            continue
+        place = np.arange(len(length))
+        run = np.maximum.accumulate(np.where(np.concatenate(([True], length[1:] != length[:-1])), place, 0))
+        rank = place - run + np.where((run == 0) & (length[0] == now), seen, 0)
+        now, seen = length[-1], int(rank[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part, np.int32)), pa.array(rank.astype(np.int64))], [*b.schema.names, "part", "rank"])
+
+
 def _place(plan: pd.DataFrame):
     table = {c: plan[c].to_numpy(np.int64) for c in plan.columns}
     codes = table["length"] * (1 << 48) + table["rank"]
@@ -279,10 +373,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) ->
     ignored; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    found = spread(docs.select("doc_id", "text")).mapInArrow(
-        _pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
-    )
-    pieces = cut(found)
+    row = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    found = cut(spread(docs.select("doc_id", "text")).mapInArrow(_pieces(tokenizer, size, end_id), row))
+    # sorted partitions hold few lengths each, so the table of their counts stays small
+    sorted_ = found.repartitionByRange("length", F.xxhash64("doc_id", "piece")).sortWithinPartitions("length")
+    pieces = cut(sorted_.mapInArrow(_ranked, f"{row}, part int, rank long"))
     by_part = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     lengths = by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `size` rows
     plan = plan_rows(bin_completion({r.length: r.n for r in lengths}, size))
