@@ -61,3 +61,19 @@ def test_tables(spark):
     for r in html_text.main_text(pages).collect():
         assert r.n_chars > 0 and "track(" not in r.text and "©" not in r.text
     assert html_text.main_text(pages.limit(0)).collect() == []
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = ['<a "' * 15000, "<a " * 20000, "<b>" * 8000 + "</i>" * 8000, "<b>" * 8000 + "<p>x" * 8000, '<a ">" ' * 9000, "<a '\">\" ' " * 7000, "<a " + "a" * 60000 + ">", "<a " + "a " * 30000 + ">", "<li><dt>" * 8000, "<" * 60000, "</script " * 7000]
+    for page in pages:
+        began = time.perf_counter()
+        root = html_text.parse(page)
+        html_text.blocks(root, html_text.hash_subtrees(root), frozenset())
+        assert time.perf_counter() - began < 0.6, page[:20]
+
+
+def test_tag_ends():
+    ends = html_text._Tags('<a x=">" y>z<b "q>r').end
+    assert ends(2) == 11 and ends(14) == 18 and html_text._Tags("<a b").end(2) == -1

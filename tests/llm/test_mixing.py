@@ -62,3 +62,13 @@ def test_apportion_is_sainte_lague(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_clashing_columns_and_small_corpora(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 9, 8, 7, 6), (2, "d e", "y", 9, 8, 7, 6)], "doc_id long, text string, source string, size int, target int, quota int, __size int")
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "text", "source", "quota", "__size", "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    # weights 1 and 2 share five words
+    assert {r.doc_id: (r.size, r.quota) for r in rows} == {1: (3, 7), 2: (2, 7)} and sum(r.taken for r in rows) == 5
+    assert all(abs(r.taken - r.target) < 1 for r in rows)

@@ -72,3 +72,44 @@ def test_mask(spark):
     rows = {r.doc_id: r for r in pii.mask(df).collect()}
     assert rows[1].text == "to [EMAIL] now" and rows[1].n_chars == 14 and rows[2].text is None and rows[3].text == "plain"
     assert pii.mask(df).columns == df.columns
+
+
+def test_context_over_many_spans_and_after_a_span(spark):
+    text = "ssn " + ", ".join(f"123-45-{6000 + i}" for i in range(400))
+    rows = [(1, text), (2, "123-45-6789 is my social number"), (3, "123-45-6789 and more"), (4, "ssn " + "x" * 37 + " 123-45-6789")]
+    got = {r.doc_id: r.spans.count("ssn") for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the word stands within 40 characters of the first three
+    assert got == {1: 3, 2: 1, 3: 0, 4: 0}
+
+
+def test_chunks_of_matches_keep_their_context(spark):
+    for k in range(120, 132):
+        text = ", ".join(f"123-45-{6000 + i}" for i in range(k)) + " ssn 123-45-6789, 123-45-6788"
+        (row,) = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert row.spans.count("ssn") == 3  # the two after the word, and the one before it
+
+
+def test_empty_repeated_and_clashing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.report(none).collect() == [] and pii.mask(none).collect() == []
+    rows = [(1, "a@b.co", 7, 1, "z"), (1, "a@b.co", 7, 1, "z"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans int, `from` int, `a.b` string")
+    got = pii.report(df).collect()
+    assert sorted(r.n_email for r in got) == [0, 1, 1] and len({r.base_sha256 for r in got}) == 2
+    masked = pii.mask(df)
+    assert masked.columns == df.columns
+    assert sorted(tuple(map(str, r)) for r in masked.collect()) == sorted(tuple(map(str, r[:1] + ("[EMAIL]" if r[1] else None,) + r[2:])) for r in rows)
+
+
+def test_mask_equals_a_plain_loop(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(["a@b.co", " ", "1.2.3.4", "+1 988 555 24 85", "x", "é😀", "4111 1111 1111 1111", "\n"]) for _ in range(rnd.randrange(1, 900))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.pii_spans for r in pii.find_spans(df).collect()}
+    for r in pii.mask(df).collect():
+        at, out, text = 0, [], texts[r.doc_id]
+        for s in sorted(spans[r.doc_id], key=lambda s: (s.start, -s.end)):
+            if s.start >= at:
+                out.append(text[at : s.start] + f"[{s.kind.upper()}]")
+            at = max(at, s.end)
+        assert r.text == "".join(out) + text[at:]

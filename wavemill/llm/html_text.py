@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,8 +40,11 @@ HINTS = re.compile(
 #: Parts of prose that are no template by themselves in an article.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption figcaption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form alertdialog".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
-_ATTR = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<![\w-])(hidden)(?![\w=-])")
+#: Names that some start tag ends.
+_ENDED = frozenset().union(*CLOSES.values())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)|<", re.S)
+_EDGE = re.compile("[>\"']")
+_ATTR = re.compile(r"(?<![\w:.-])([A-Za-z_:][\w:.-]*+)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)|(?<![\w-])(hidden)(?![\w=-])")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　 \x85]+")
 
 
@@ -50,6 +54,7 @@ class Node:
     label: str
     boiler: bool
     parent: Node | None
+    up: Node | None = None  # nearest ancestor in SCOPE or _ENDED
     kids: list = field(default_factory=list)  # Node or str
     digest: int = 0
     words: int = 0  # sum of the hashes of its texts outside template elements
@@ -70,10 +75,46 @@ def _boiler(name: str, attrs: str) -> bool:
     return name not in ("html", "body", "article", "main") and bool(HINTS.search(found.get("class", "")) or HINTS.search(found.get("id", "")))
 
 
+class _Tags:
+    """Ends of the tags of a text: the first > outside quotes, or the first at all
+    where a quote stays open. A place from which no end was found is not tried again,
+    so all tags of a text together take linear time."""
+
+    def __init__(self, text: str):
+        self.text, self.dead = text, set()
+        self.last = {c: text.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Place after the tag whose name ends at ``at``, or -1."""
+        if at > self.last[">"]:
+            return -1
+        seen, here = [], at
+        while m := _EDGE.search(self.text, here):
+            q = m.start()
+            if m[0] == ">":
+                return m.end()
+            if q in self.dead or q >= self.last[m[0]]:
+                break
+            seen.append(q)
+            here = self.text.find(m[0], q + 1) + 1
+        self.dead.update(seen)
+        return self.text.find(">", at) + 1
+
+
 def parse(text: str) -> Node:
-    """A forgiving element tree: unclosed and misnested tags never lose text."""
+    """A forgiving element tree: unclosed and misnested tags never lose text. It takes
+    time linear in the text, whatever its tags."""
     root = Node("", "", False, None)
-    here, at = root, 0
+    here, at, tags, opened = root, 0, _Tags(text), Counter()
+
+    def leave(to: Node) -> Node:
+        """Closes ``to`` and all that is open in it."""
+        n = here
+        while n is not to.parent:
+            opened[n.name] -= 1
+            n = n.parent
+        return n
+
     while True:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -83,35 +124,43 @@ def parse(text: str) -> Node:
             here.kids.append(text[at : m.start()])
         at = m.end()
         name = m[2] and m[2].lower()
-        if not name:
-            if m[0] == "<":
+        after = tags.end(at) if name else 0
+        if not name or after < 0:
+            if m[0] == "<" or after < 0:
                 here.kids.append("<")
-        elif m[1]:
-            open_ = here
-            while open_ is not root and open_.name != name:
-                open_ = open_.parent
-            if open_ is not root:
-                here = open_.parent
+                at = m.start() + 1
+            continue
+        attrs, at = text[at : after - 1].strip(), after
+        if m[1]:
+            if opened[name] > 0:
+                open_ = here
+                while open_.name != name:
+                    open_ = open_.parent
+                here = leave(open_)
             elif name == "p":  # a stray end still ends a line
                 here.kids.append(Node("p", "p ", False, here))
         else:
-            ends = CLOSES.get(name)
+            ends = CLOSES.get(name, ())
             if ends:
-                open_ = here
-                while open_ is not root and open_.name not in SCOPE:
+                open_ = here if here.name in SCOPE or here.name in _ENDED else here.up
+                outer = None
+                while open_ is not None:
                     if open_.name in ends:
-                        here = open_.parent
-                    open_ = open_.parent
-                if open_.name in ends:
-                    here = open_.parent
-            attrs = m[3].rstrip()
-            node = Node(name, f"{name} {attrs}", _boiler(name, attrs), here)
+                        outer = open_
+                    if open_.name in SCOPE:
+                        break
+                    open_ = open_.up
+                if outer is not None:
+                    here = leave(outer)
+            marked = here.name in SCOPE or here.name in _ENDED
+            node = Node(name, f"{name} {attrs}", _boiler(name, attrs), here, here if marked else here.up)
             here.kids.append(node)
             if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+                end = re.compile(rf"</{name}\s*+>", re.I).search(text, at)
                 node.kids.append(text[at : end.start() if end else len(text)])
                 at = end.end() if end else len(text)
             elif name not in VOID and not attrs.endswith("/"):
+                opened[name] += 1
                 here = node
 
 

@@ -69,30 +69,37 @@ def apportion(parties: DataFrame, by: list[str], votes: str, seats: str) -> Data
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 16, shard_words: int = 1 << 17, max_shards: int = 8192, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target and taken beside its columns, a row
-    per input row.
+    per input row; these four replace columns of the same names.
 
     ``size`` is the words of the text (null: 0), ``taken`` the words that the mix
     takes of it, repeats counted, at most ``most`` times its size. Ties in the
     seeded order go by doc_id and size; repeated rows share a place in it in any
     order and a null doc_id has a place of its own. An empty table gives no rows.
+    Small corpora are dealt in smaller blocks. Sources of more than ``max_shards``
+    times ``shard_words`` words have larger shards.
     """
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn("__size", size)
-    per = cut(sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
+    per = cut(sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")))
+    block = min(block, max(1, (per.agg(F.sum("source_size")).first()[0] or 0) // 4096))
     goal = targets(per, weights, most)
     seats = F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")
     quotas = cut(apportion(goal.withColumn("seats", seats), [], "target", "seats").withColumn("shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")))
-    side = quotas.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota"), F.col("shards").alias("__shards"))
-    at = sized.join(side, F.col("source").eqNullSafe(F.col("__source")))
-    at = at.withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "__size")).withColumn("__shard", F.pmod(F.xxhash64("__order"), F.col("__shards")).cast("int"))
+    side = quotas.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota"), F.col("shards").alias("__shards"))
+    at = sized.join(side, F.col("__source").eqNullSafe(F.col("__of")))
+    at = at.withColumn("__order", F.xxhash64(F.lit(seed), "__id", "__size")).withColumn("__shard", F.pmod(F.xxhash64("__order"), F.col("__shards")).cast("int"))
     place = at.select("__source", "__shard", "__size", "__quota")
     shard = place.groupBy("__source", "__shard").agg(F.sum("__size").alias("words"), F.first("__quota").alias("seats"))
-    dealt = apportion(shard, ["__source"], "words", "seats")
-    blocks = F.ceil(F.col("words") / block).cast("long")
-    dealt = dealt.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("quota", F.least(F.col("quota"), F.col("blocks") * most))
+    blocks = F.greatest(F.ceil(F.col("words") / block).cast("long"), F.lit(1))
+    dealt = apportion(shard, ["__source"], "words", "seats").withColumn("blocks", blocks).withColumnRenamed("quota", "first")
+    # what rounding put above a shard's bound goes to the source's shards with room
+    over, room = F.greatest(F.col("first") - F.col("blocks") * most, F.lit(0)), F.greatest(F.col("blocks") * most - F.col("first"), F.lit(0))
+    dealt = dealt.drop("seats").withColumn("room", room).withColumn("left", F.sum(over).over(W.partitionBy("__source")))
+    dealt = apportion(dealt, ["__source"], "room", "left")
+    dealt = dealt.withColumn("quota", F.least(F.least(F.col("first"), F.col("blocks") * most) + F.col("quota"), F.col("blocks") * most))
     dealt = dealt.select(F.col("__source").alias("s"), F.col("__shard").alias("h"), F.col("blocks").alias("__blocks"), F.col("quota").alias("__take"))
-    line = W.partitionBy("__source", "__shard").orderBy("__order", "doc_id", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = W.partitionBy("__source", "__shard").orderBy("__order", "__id", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = at.withColumn("__end", F.sum("__size").over(line)).join(dealt, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__shard") == F.col("h")))
     extra, blocks = F.expr("__take % __blocks"), F.col("__blocks")
     phase = F.pmod(F.xxhash64(F.lit(seed), "__source", "__shard"), blocks)
@@ -105,4 +112,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
         return chosen(b) * block + (x - b * block) * (chosen(b + 1) - chosen(b))
 
     taken = F.expr("__take div __blocks") * F.col("__size") + words(F.col("__end")) - words(F.col("__end") - F.col("__size"))
-    return laid.select(*keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
+    return laid.select(*[F.col("__row").getField(c).alias(c) for c in keep], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))

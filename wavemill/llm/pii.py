@@ -2,7 +2,8 @@
 
 Patterns propose spans, validators confirm them (value ranges, the Luhn sum, the
 mod-97 sum), and words near a proposed span decide where the pattern alone is
-too weak. Repetitions are possessive and starts are pinned to the beginning of
+too weak. Nearby are the 40 characters before a span, whatever spans they hold, and those
+after it up to the next match of its kind. Repetitions are possessive and starts are pinned to the beginning of
 a run, so the patterns take the same spans as their plain forms in time and
 stack that do not grow with a run's length.
 """
@@ -73,6 +74,7 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+_PAIRS = "array<struct<gap:string,hit:string>>"
 _NONE = "array<struct<kind:string,start:int,end:int,score:double,hit:string>>"
 
 
@@ -93,22 +95,36 @@ def _starts(chunks: Column) -> Column:
     return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
 
+def _joined(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], p["hit"])), "")
+
+
 def _spans(chunks: Column, starts: Column, kind: str) -> Column:
     """Confirmed spans of one kind, in order: running lengths of the gaps and hits
-    place every match in code points."""
+    place every match in code points. A match has 5 characters at least, so eight
+    before a chunk hold all the characters that are near its first one."""
     empty = F.array().cast(_NONE)
 
     def step(acc: Column, p: Column) -> Column:
-        gap, hit = p["gap"], p["hit"]
+        gap, hit = p["now"]["gap"], p["now"]["hit"]
         start = acc["at"] + F.length(gap)
-        near = F.right(gap, F.lit(CONTEXT_CHARS))
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(F.lower(near).rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0))
+        before = F.right(F.concat(acc["before"], gap), F.lit(CONTEXT_CHARS))
+        after = F.left(F.coalesce(p["next"]["gap"], F.lit("")), F.lit(CONTEXT_CHARS))
+        said = F.lower(F.concat_ws("\n", before, after)).rlike(rf"\b(?:{CONTEXT[kind]})")
+        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(said, CONTEXT_GAIN).otherwise(0.0))
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), score.alias("score"), hit.alias("hit"))
         keep = (hit != "") & _valid(kind, hit) & ((F.lit(kind in BASE)) | (score >= ACCEPT))
-        return F.struct((start + F.length(hit)).alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        return F.struct(
+            (start + F.length(hit)).alias("at"),
+            F.right(F.concat(before, hit), F.lit(CONTEXT_CHARS)).alias("before"),
+            F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
+        )
 
     def in_chunk(c: Column, i: Column) -> Column:
-        return F.aggregate(c, F.struct(F.element_at(starts, i + 1).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+        earlier = F.when(i > 0, F.right(_joined(F.slice(F.get(chunks, i - 1), -8, 8)), F.lit(CONTEXT_CHARS))).otherwise(F.lit(""))
+        following = F.concat(F.slice(c, 2, CHUNK), F.coalesce(F.slice(F.get(chunks, i + 1), 1, 1), F.array().cast(_PAIRS)))
+        pairs = F.arrays_zip(c.alias("now"), following.alias("next"))
+        return F.aggregate(pairs, F.struct(F.element_at(starts, i + 1).alias("at"), earlier.alias("before"), empty.alias("found")), step, lambda acc: acc["found"])
 
     return F.coalesce(F.flatten(F.transform(chunks, in_chunk)), empty)
 
@@ -139,7 +155,14 @@ def _count(kind: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts of base kinds, base_sha256, spans, max_score."""
+    """``docs(doc_id, text)`` -> doc_id, counts of base kinds, base_sha256, spans,
+    max_score, a row per input row.
+
+    A null or empty text has no spans: counts of 0, the digest of the empty string,
+    empty spans and a null score. Texts are searched whole, in time linear in their
+    length. Repeated rows and doc_ids, null ones too, are reported row by row. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
+    """
     found = find_spans(docs.select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["kind"].isin(BASE))
     counts = [_count(k).alias(f"n_{k}") for k in BASE]
@@ -147,18 +170,35 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text replaced by ``[KIND]``; the longest of
-    overlapping spans stands for them. Other columns stay; n_chars, if there,
-    follows the new text. A null text stays null."""
-    found = find_spans(docs)
+    """``docs`` with every span of its text replaced by ``[KIND]``; of overlapping
+    spans the first to begin, and of those the longest, stands for them. Other
+    columns stay, one named pii_spans too; n_chars, if there, follows the new text.
+    A null text stays null; rows are neither merged nor dropped, and an empty table
+    stays empty.
+
+    Spans are worked on in groups, each on its own stretch of the text, so that a
+    long text is not read from its start for every span.
+    """
+    private = find_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text")))
     order = F.array_sort("pii_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(piece).alias("out"))
-
-    masked = F.aggregate(order, state, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("pii_spans") > 0, masked).otherwise(F.col("text"))).drop("pii_spans")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out.select(docs.columns)
+    private = private.withColumn("groups", F.when(F.size("pii_spans") > 0, _chunks(order)))
+    # where each group's stretch begins: the farthest end of the spans before it
+    ends = F.transform("groups", lambda g: F.array_max(F.transform(g, lambda s: s["end"])))
+    private = private.withColumn("from", F.aggregate(ends, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(e, F.element_at(acc, -1))))))
+
+    def in_group(g: Column, i: Column) -> Column:
+        begin, end = F.element_at("from", i + 1), F.element_at("from", i + 2)
+        stretch = F.substring(F.col("text"), begin + 1, end - begin)
+
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.concat(acc["out"], F.substring(acc["text"], acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(piece).alias("out"), acc["text"].alias("text"))
+
+        return F.aggregate(g, F.struct(begin.alias("at"), F.lit("").alias("out"), stretch.alias("text")), step, lambda acc: acc["out"])
+
+    rest = F.substring(F.col("text"), F.element_at("from", -1) + 1, F.length("text"))
+    masked = F.when(F.size("pii_spans") > 0, F.concat(F.array_join(F.transform("groups", in_group), ""), rest)).otherwise(F.col("text"))
+    fresh = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)
+    return private.select("row", masked.alias("masked")).select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
