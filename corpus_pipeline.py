@@ -45,11 +45,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: taken / size copies, a fraction
     rounded by a seeded draw on the doc_id, so that sources keep their shares."""
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source"))
     draw = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
     # a document of no words has no share to take and stays out
-    return mixed.where("size > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    dealt = mixed.where("size > 0").select("row", F.explode(F.array_repeat(F.lit(0), copies)))
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
