@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: a batch of the longest texts must still fit a Python worker.
-ARROW_ROWS = 1024
+#: Rows and bytes of an Arrow batch: one must fit a Python worker whatever its texts.
+ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Bounds the Arrow batches that the operators' Python stages receive."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     session's own where it is unset (single-machine runs and tests)."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not found:
         found = getattr(shared_dir, "own", None)
         if found is None:
