@@ -42,3 +42,21 @@ def test_accuracy_and_edges(spark):
 
 def test_empty(spark):
     assert langid.identify_held_out(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_long_texts_in_stretches_and_short_texts_are_learned():
+    model = langid.train(["der hund und die katze"] * 20 + ["the dog and the cat"] * 20 + ["日本語"] * 20, ["de"] * 20 + ["en"] * 20 + ["ja"] * 20)
+    assert "ja" in model.langs
+    rng = np.random.default_rng(2)
+    emit, inverse = rng.normal(size=(50, 3)), rng.integers(0, 50, 3000)
+    weight, row = np.ones(3000), np.zeros(3000, np.int64)
+    whole = langid.shares(emit, inverse, weight, row, 1, model)
+    parts = langid.shares(emit, inverse, weight, row, 1, model, most=700)
+    assert np.allclose(whole, parts, atol=1e-6)
+
+
+def test_refits_agree_with_repeated_keys(spark):
+    rows = [(i % 7, f"wort {i} und der hund" if i % 2 else f"word {i} and the dog", "de" if i % 2 else "en") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = langid.fit(df, per_lang=9), langid.fit(df.repartition(3), per_lang=9)
+    assert a.langs == b.langs and np.array_equal(a.weights, b.weights)

@@ -155,7 +155,7 @@ def train(texts: list[str], langs: list[str], window: int = 128, epochs: int = 8
     for i, lang in enumerate(langs):
         n = int(w.counts[i])
         at = int(first[i]) + (int(rng.integers(0, n - window + 1)) if n > window else 0)
-        for lo in range(at, at + min(n, window) - 3, 16):
+        for lo in range(at, max(at + min(n, 1), at + min(n, window) - 3), 16):  # short texts are stretches too
             stretches.append((inverse[lo : min(lo + 16, at + min(n, window))], names.index(lang)))
     k = len(names)
     weights, trans, start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
@@ -198,6 +198,21 @@ def train(texts: list[str], langs: list[str], window: int = 128, epochs: int = 8
     return Model(names, weights.astype(np.float32), np.clip(trans, -6, 6), np.clip(start, -3, 3))
 
 
+def shares(emit: np.ndarray, inverse: np.ndarray, weight: np.ndarray, row: np.ndarray, rows: int, model: Model, most: int = 1 << 20, around: int = 256) -> np.ndarray:
+    """Sums of the words' label probabilities by text. A single text of more than
+    ``most`` words is labelled in stretches with ``around`` words before and after,
+    beyond which words hardly bear on each other, so memory stays bounded."""
+    n = len(inverse)
+    step = n if rows > 1 else most
+    share = np.zeros((rows, emit.shape[1]))
+    for s in range(0, n, step):
+        a, b, e = max(0, s - around), min(n, s + step + around), min(n, s + step)
+        scores = emit[inverse[a:b]] * weight[a:b, None]
+        gamma = forward_backward(scores, np.bincount(row[a:b], minlength=rows), model.trans, model.start)[s - a : e - a] * weight[s:e, None]
+        share += np.stack([np.bincount(row[s:e], g, rows) for g in gamma.T], 1)
+    return share
+
+
 def _predict(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = model_of()
@@ -206,7 +221,8 @@ def _predict(model_of):
             lowered = pa.array([None if t is None else t.lower() for t in column.to_pylist()], pa.string())
             data, offsets = string_parts(lowered)
             langs, scores = [], []
-            for lo, hi in slices(offsets):
+            # more labels, shorter slices: transfer matrices are labels by labels
+            for lo, hi in slices(offsets, max_bytes=(4 << 20) * 8 // max(8, len(model.langs) if model else 1)):
                 w = words(data, offsets[lo : hi + 1], lower=False)
                 rows = hi - lo
                 share = np.zeros((rows, len(model.langs) if model else 1))
@@ -217,10 +233,8 @@ def _predict(model_of):
                     lettered = np.bincount(w.row, weight, rows) > 0
                     if model:
                         _, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                        emit = emissions(model.weights, *features(w.buf, w.start[where], w.end[where]), len(where))[inverse]
-                        emit *= weight[:, None]
-                        gamma = forward_backward(emit, w.counts, model.trans, model.start) * weight[:, None]
-                        share = np.stack([np.bincount(w.row, g, rows) for g in gamma.T], 1)
+                        emit = emissions(model.weights, *features(w.buf, w.start[where], w.end[where]), len(where))
+                        share = shares(emit, inverse, weight, w.row, rows, model)
                 for i in range(rows):
                     # bytes above ASCII may be marks: only then the characters are looked at
                     text = column[lo + i].as_py() if lettered[i] and model else None
@@ -236,21 +250,27 @@ def _predict(model_of):
     return run
 
 
-def fit(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, max_chars: int = 20_000) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, window: int = 128) -> Model | None:
     """Learns from ``docs(doc_id, text, lang)`` on a bounded sample: of each of the
-    ``max_langs`` most frequent languages ``per_lang`` texts of at most
-    ``max_chars`` characters, by the order of their hashed keys. None if nothing
-    is labelled."""
-    known = docs.where("lang is not null and text is not null and text rlike '[A-Za-z\\\\x{80}-\\\\x{10FFFF}]'").where(F.length("text") <= max_chars)
+    ``max_langs`` most frequent languages ``per_lang`` texts by the order of their
+    hashed keys, a stretch of up to ``window`` words of each. None if nothing is
+    labelled. Repeated keys are ordered by their texts' hashes, so refits agree."""
+    known = docs.where("lang is not null and text is not null and text rlike '[A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
     common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    if not common:
+        return None
+    known = known.where(F.col("lang").isin(common))
     # salted first, so that a frequent language is no task of its own
-    ids = known.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
+    ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("h"), F.lit(16)))
     for by in (("lang", "salt"), ("lang",)):
         ids = ids.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
-    ids = ids.select("doc_id").distinct()
-    rows = known.join(F.broadcast(ids), "doc_id").where(F.col("lang").isin(common)).select("text", "lang").limit(2 * per_lang * max_langs).collect() if common else []
-    rows = sorted((r.text, r.lang) for r in rows)
-    return train([t for t, _ in rows], [v for _, v in rows]) if rows else None
+    spoken = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = known.join(F.broadcast(ids.select("doc_id", "h").distinct()), "doc_id").select("lang", "h", F.xxhash64("text").alias("t"), spoken.alias("w"))
+    first = F.pmod(F.col("t"), F.greatest(F.lit(1), F.size("w") - window + 1)).cast("int") + 1
+    rows = rows.select("lang", "h", "t", F.array_join(F.slice("w", first, F.lit(window)), " ").alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= per_lang)
+    found = sorted((r.text, r.lang) for r in rows.select("text", "lang").collect())
+    return train([t for t, _ in found], [v for _, v in found], window) if found else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
