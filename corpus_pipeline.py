@@ -15,9 +15,6 @@ from wavemill.llm.base import cut, table
 from wavemill.llm.parity_join import jaccard_components
 from wavemill.llm.queries import tokenizer
 
-#: A document goes if it is ``und`` or its language's mean share is below this.
-LEAST_SHARE = 0.5
-
 
 def _by_row(docs: DataFrame, facts: DataFrame, keep: str) -> DataFrame:
     """``docs`` whose doc_id has a row of ``facts`` that passes ``keep``."""
@@ -26,15 +23,18 @@ def _by_row(docs: DataFrame, facts: DataFrame, keep: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; null or letterless texts go."""
+    """Documents whose language is known, code-switched ones too; null or letterless
+    texts go. Repeated rows stay, and an empty table stays empty."""
     found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
-    return _by_row(docs, found, f"lang_pred <> 'und' and score >= {LEAST_SHARE}")
+    return _by_row(docs, found, "lang_pred <> 'und'")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate group."""
+    """One document, that of the smallest id, of each near-duplicate group; documents
+    without an id stay, once each. Repeated rows, told by a hash of the text, are one."""
     groups = jaccard_components(docs, n=5, num=4, den=5)
-    return _by_row(docs, groups, "doc_id is null or doc_id = component_id").dropDuplicates(["doc_id", "text"])
+    kept = _by_row(docs, groups, "doc_id is null or doc_id = component_id")
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
