@@ -110,16 +110,20 @@ def test_vocabulary(spark):
         parsed = decode.parse_vocabulary(spark.createDataFrame([(x,) for x in lines], "line string"))
         return decode.vocabulary_errors(parsed).first().result
 
-    assert result(" ", "token 0", "<blank> 1") == "ok" and result("a b 0") == "ok"
+    assert result("", "token 0", "<blank> 1") == "ok" and result("a b 0") == "ok" and result("a +0", "b 001") == "ok"
     assert result("token") == "missing_id" and result("a 0", "b 0") == "duplicate_id" and result("a 0", "b 2") == "gap"
     assert result("<blank> 0", "b 1") == "blank_not_last" and result("a 99999999999999999999999") == "bad_id"
+    assert result("") == "empty" and result(" 0") == "empty_token" and result(" ") == "empty_token"
+    assert result("a 0", "b 2", "c 2") == "gap" and result("a 0", "<blank> 1", "<blk> 2") == "blank_not_last"
+    assert result(f"token {2**64 - 1}") == "gap" and result(f"token {2**64}") == "bad_id" and result("a -1") == "bad_id"
 
 
 def test_metrics(spark):
     moves = [(1, i, 1, 0) for i in range(40)] + [(1, 40 + i, 0, 1) for i in range(45)]
     m = events.delivery_metrics(spark.createDataFrame(moves, "s long, i long, emitted int, received int"), "s", "i")
     last = m.orderBy(F.desc("i")).first()
-    assert (last.pending, last.peak_pending, last.n_emitted, last.n_received) == (0, 40, 40, 40)
+    assert (last.pending, last.peak_pending, last.n_emitted, last.n_received) == (0, 40, 40, 45)
+    assert (last.n_discarded, last.n_failures, last.receiver_closed) == (0, 0, False)
     assert [r.i for r in events.backlog_warnings(m, "s", "i").collect()] == [31]
 
 

@@ -41,3 +41,9 @@ def duration_ms(start_ns: Column, end_ns: Column) -> Column:
 def checked_add(a: Column, b: Column) -> Column:
     """The sum, or null where it leaves 63 bits (an invalid timestamp)."""
     return F.try_add(a, b)
+
+
+def capture_time(elapsed: Column, callback: Column, capture: Column) -> Column:
+    """Session time of a buffer's capture: what has elapsed less the delay from its
+    capture to its callback, neither below 0."""
+    return F.greatest(elapsed - F.greatest(callback - capture, F.lit(0)), F.lit(0))

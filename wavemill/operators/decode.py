@@ -80,26 +80,90 @@ def greedy_decode(joint: Callable, encoded: np.ndarray, length: int, vocabulary:
     return out
 
 
-def parse_vocabulary(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Lines ``token id``, split at the last space -> (token, token_id); blank
-    lines go, an id that is no number is null."""
-    pattern = "^(.*) ([^ ]*)$"
-    return lines.where(F.trim(text) != "").select(F.regexp_extract(text, pattern, 1).alias("token"), F.expr(f"try_cast(regexp_extract({text}, '{pattern}', 2) as bigint)").alias("token_id"), F.col(text).rlike(pattern).alias("split"))
+class FakeTransducer:
+    """A stand-in for an encoder and a joint network on whole numbers: every eighth
+    sample is a frame; token, duration and next state follow from the frame, the
+    previous token and the state."""
+
+    size, durations, state = 28, 3, 0
+
+    def encode(self, samples: np.ndarray) -> np.ndarray:
+        return np.floor(1024 * np.asarray(samples, np.float64)[::8])[None] % 97
+
+    def joint(self, frame: np.ndarray, previous: int, state: int) -> tuple[np.ndarray, int]:
+        x, logits = int(frame[0]), np.zeros(self.size + self.durations)
+        logits[[(x + 3 * previous + 5 * state) % self.size, self.size + (x + previous + state) % self.durations]] = 1
+        return logits, (2 * state + x + 1) % 7
+
+
+def recognise(utterances: DataFrame, model: Callable[[], FakeTransducer], vocabulary: list[str], samples: str = "samples") -> DataFrame:
+    """``utterances`` with a ``pieces`` column instead of samples: encoder, greedy
+    decode with the model's state, and vocabulary look-up, which skips ids that the
+    vocabulary lacks. Empty utterances have no pieces. The model, made once per
+    task, has encode, joint, size (of its tokens, the last one blank) and state."""
+    kept = [c for c in utterances.columns if c != samples]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in utterances.schema if f.name != samples) + ", pieces array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = model()
+        for b in batches:
+            said = []
+            for x in b.column(len(kept)).to_pylist():
+                encoded = made.encode(np.array(x or [], np.float64))
+                ids = greedy_decode(made.joint, encoded, encoded.shape[1], made.size, made.state)
+                said.append([vocabulary[i] for i in ids if i < len(vocabulary)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.list_(pa.string()))], [*kept, "pieces"])
+
+    return utterances.select(*kept, samples).mapInArrow(run, schema)
+
+
+def spaces_mode(vocabulary: list[str]) -> bool:
+    """Whether word marks are spaces: so they are in vocabularies of many languages."""
+    return "<|en|>" in vocabulary
+
+
+#: File names of the models, in order of preference.
+ENCODERS = ("encoder.onnx", "encoder-model.onnx", "encoder-model.int8.onnx")
+DECODERS = ("decoder_joint.onnx", "decoder_joint-model.onnx", "decoder_joint-model.int8.onnx", "decoder-model.onnx")
+
+
+def find_model_files(files: DataFrame, by: str = "dir", name: str = "name") -> DataFrame:
+    """``files(by, name)`` -> per folder its encoder, decoder and error text: the first
+    that a list prefers, or what is missing first."""
+    found = {kind: F.min(F.when(F.array_position(F.array(*map(F.lit, names)), F.col(name)) > 0, F.array_position(F.array(*map(F.lit, names)), F.col(name)))) for kind, names in (("encoder", ENCODERS), ("decoder_joint", DECODERS))}
+    out = files.groupBy(by).agg(*[c.alias(k) for k, c in found.items()])
+    missing = F.coalesce(*[F.when(F.col(k).isNull(), F.concat(F.lit(f"No {k} model found in "), F.col(by).cast("string"))) for k in found])
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), (F.col(k) - 1).cast("int")).alias(k)
+    return out.select(by, pick(ENCODERS, "encoder"), pick(DECODERS, "decoder_joint"), missing.alias("error"))
+
+
+def parse_vocabulary(lines: DataFrame, text: str = "line", number: str | None = None) -> DataFrame:
+    """Lines ``token id``, split at the last space -> with number, token, token_id and
+    error: missing_id, empty_token, bad_id (no unsigned 64-bit number), or null. An
+    empty line, and only that, is ``skipped``. ``number`` names the line numbers."""
+    pattern = "(?s)^(.*) ([^ ]*)$"
+    x = lines.withColumn("number", F.col(number) if number else F.monotonically_increasing_id())
+    x = x.withColumns({"skipped": F.col(text) == "", "split": F.col(text).rlike(pattern), "token": F.regexp_extract(text, pattern, 1), "digits": F.regexp_extract(text, pattern, 2)})
+    value = F.expr("try_cast(regexp_replace(digits, '^[+]?0*(?=[0-9])', '') as decimal(38,0))")
+    x = x.withColumn("token_id", F.when(F.col("digits").rlike("^[+]?[0-9]+$") & (value <= F.lit("18446744073709551615").cast("decimal(38,0)")), value))
+    error = F.when(F.col("skipped"), None).when(~F.col("split"), "missing_id").when(F.col("token") == "", "empty_token").when(F.col("token_id").isNull(), "bad_id")
+    return x.withColumn("error", error).drop("split", "digits")
 
 
 def vocabulary_errors(parsed: DataFrame, by: str | None = None) -> DataFrame:
-    """The first kind of error, by rule order, of each vocabulary (``by``): missing_id,
-    bad_id, duplicate_id, gap, blank_not_last, or ok."""
+    """The error of each vocabulary (``by``): that of the first bad line; else empty;
+    else what breaks the run of ids 0, 1, 2 first (duplicate_id or gap); else
+    blank_not_last, if the first blank is not the last token; or ok."""
     group = [by] if by else []
-    w = W.partitionBy(*group).orderBy("token_id") if group else W.orderBy("token_id")
-    x = parsed.withColumn("prev", F.lag("token_id").over(w))
-    agg = x.groupBy(*group).agg(
-        F.max((~F.col("split")).cast("int")).alias("e1"),
-        F.max(F.col("token_id").isNull().cast("int")).alias("e2"),
-        F.max((F.col("token_id") == F.col("prev")).cast("int")).alias("e3"),
-        F.max((F.col("token_id") != F.coalesce(F.col("prev") + 1, F.lit(0))).cast("int")).alias("e4"),
-        F.max(F.when(F.col("token").isin(*BLANKS), F.col("token_id"))).alias("blank"),
-        F.max("token_id").alias("top"),
+    entry = ~F.col("skipped") & F.col("error").isNull()
+    place = F.row_number().over(W.partitionBy(*group, entry).orderBy("token_id", "number")) - 1  # a vocabulary is small
+    x = parsed.withColumn("entry", entry).withColumn("place", F.when(entry, place))
+    broken = F.when(F.col("token_id") < F.col("place"), "duplicate_id").when(F.col("token_id") > F.col("place"), "gap")
+    agg = x.withColumn("broken", broken).groupBy(*group).agg(
+        F.min(F.when(F.col("error").isNotNull(), F.struct("number", "error")))["error"].alias("line"),
+        F.count(F.when(F.col("entry"), 1)).alias("n"),
+        F.min(F.when(F.col("broken").isNotNull(), F.struct("place", "broken")))["broken"].alias("ids"),
+        F.min(F.when(F.col("entry") & F.col("token").isin(*BLANKS), F.col("place"))).alias("blank"),
     )
-    kind = F.when(F.col("e1") == 1, "missing_id").when(F.col("e2") == 1, "bad_id").when(F.col("e3") == 1, "duplicate_id").when(F.col("e4") == 1, "gap").when(F.col("blank") != F.col("top"), "blank_not_last").otherwise("ok")
+    kind = F.coalesce("line", F.when(F.col("n") == 0, "empty"), "ids", F.when(F.col("blank") + 1 != F.col("n"), "blank_not_last"), F.lit("ok"))
     return agg.select(*group, kind.alias("result"))

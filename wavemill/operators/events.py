@@ -40,8 +40,8 @@ def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def labelled(events: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """``labels(key, label)`` is a fixed small table; others are ``unknown``."""
-    return events.join(F.broadcast(labels), key, "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
+    """``labels(key, label)``, sent whole by Spark if it is small; others are ``unknown``."""
+    return events.join(labels, key, "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
 
 
 def realtime_factor(inference_ns: Column, start_ns: Column, end_ns: Column) -> Column:
@@ -49,18 +49,32 @@ def realtime_factor(inference_ns: Column, start_ns: Column, end_ns: Column) -> C
     return F.when(audio > 0, inference_ns.cast("double") / audio.cast("double")).otherwise(F.lit(0.0))
 
 
+#: Fixed value: counters stop at the largest unsigned 64-bit number.
+COUNTER_MOST = "18446744073709551615"
+
+
+def saturating_sum(column: Column, over) -> Column:
+    """A running count that stops at the top of its range."""
+    return F.least(F.sum(column.cast("decimal(20,0)")).over(over), F.lit(COUNTER_MOST).cast("decimal(38,0)"))
+
+
 def delivery_metrics(moves: DataFrame, by: str, *order: str) -> DataFrame:
-    """``moves(by, emitted, received)``, +1 or 0 each, in order -> running counters.
+    """``moves(by, emitted, received, discarded, failures, closed)``, counts and a
+    flag, in order -> running counters; the last three may be missing.
 
-    A receipt takes at most what is pending, so pending is the walk's height over
-    its lowest point so far.
+    Receipts and discards take at most what is pending, so pending is the walk's
+    height over its lowest point so far; what is received or discarded counts in
+    full. A discard closes the receiver.
     """
+    given = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in moves.columns else F.lit(0).cast("long") for c in ("emitted", "received", "discarded", "failures")}
+    closes = (F.coalesce(F.col("closed"), F.lit(False)) if "closed" in moves.columns else F.lit(False)) | (given["discarded"] > 0)
     w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    walked = moves.withColumn("_walk", F.sum(F.col("emitted") - F.col("received")).over(w))
+    walked = moves.withColumn("_walk", F.sum(given["emitted"] - given["received"] - given["discarded"]).over(w))
     floor = F.least(F.min("_walk").over(w), F.lit(0))
     out = walked.withColumn("pending", (F.col("_walk") - floor).cast("long"))
-    out = out.withColumn("n_emitted", F.sum("emitted").over(w).cast("long"))
-    return out.withColumn("n_received", F.col("n_emitted") - F.col("pending")).withColumn("peak_pending", F.max("pending").over(w)).drop("_walk")
+    counts = {"n_emitted": "emitted", "n_received": "received", "n_discarded": "discarded", "n_failures": "failures"}
+    out = out.withColumns({name: F.sum(given[c]).over(w) for name, c in counts.items()})
+    return out.withColumns({"receiver_closed": F.max(closes).over(w), "peak_pending": F.max("pending").over(w)}).drop("_walk")
 
 
 def backlog_warnings(metrics: DataFrame, by: str, *order: str) -> DataFrame:

@@ -41,7 +41,7 @@ def power_frames(x: np.ndarray, n_fft: int = pcm.N_FFT, hop: int = pcm.HOP, wind
 
 
 @lru_cache(maxsize=8)
-def mel_basis(n_mels: int, n_fft: int = pcm.N_FFT, rate: int = 16_000) -> np.ndarray:
+def mel_basis(n_mels: int, n_fft: int = pcm.N_FFT, rate: int = 16_000, exact: bool = False) -> np.ndarray:
     """Triangles of equal area on the Slaney scale, from 0 to half the rate."""
     step = 0.06875177742094912
 
@@ -53,7 +53,7 @@ def mel_basis(n_mels: int, n_fft: int = pcm.N_FFT, rate: int = 16_000) -> np.nda
     bins = np.linspace(0, rate / 2, n_fft // 2 + 1)
     rise = (bins[None] - points[:-2, None]) / np.diff(points)[:-1, None]
     fall = (points[2:, None] - bins[None]) / np.diff(points)[1:, None]
-    return (np.maximum(0, np.minimum(rise, fall)) * (2 / (points[2:] - points[:-2]))[:, None]).astype(np.float32)
+    return (np.maximum(0, np.minimum(rise, fall)) * (2 / (points[2:] - points[:-2]))[:, None]).astype(np.float64 if exact else np.float32)
 
 
 def normalise_rows(x: np.ndarray, valid: int) -> np.ndarray:
@@ -91,6 +91,37 @@ def power_spectrum(rows: DataFrame, key: str, samples: str) -> DataFrame:
     return rows.select(F.col(key).cast("long"), samples).mapInArrow(run, "key long, bin long, power double").withColumnRenamed("key", key)
 
 
+def framed_log_mel(rows: DataFrame, key: str, samples: str, n_mels: int = 80, n_fft: int = pcm.N_FFT, hop: int = pcm.HOP, window: int = pcm.WINDOW) -> DataFrame:
+    """``(key, frame, mel, feature)``: log-mel features of each row's samples as one
+    utterance, in double precision. Rows are pre-emphasised, padded by half a frame,
+    cut into windowed frames every ``hop`` samples, projected and normalised over the
+    valid frames; the tail is 0. A null or empty row has one frame of zeros."""
+    basis, shape = mel_basis(n_mels, n_fft, exact=True), np.zeros(n_fft)
+    at = (n_fft - window) // 2
+    shape[at : at + window] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / (window - 1))
+
+    def features_of(x: np.ndarray) -> np.ndarray:
+        y = x.copy()
+        y[1:] -= pcm.EMPHASIS * x[:-1]
+        frames = np.lib.stride_tricks.sliding_window_view(np.pad(y, n_fft // 2), n_fft)[::hop][: len(x) // hop + 1]
+        power = np.abs(np.fft.rfft(frames * shape, axis=1)) ** 2
+        logs, valid = np.log(power @ basis.T + LOG_FLOOR), len(x) // hop
+        out = np.zeros_like(logs)
+        if valid:
+            spread = logs[:valid].std(0, ddof=1) if valid > 1 else 0.0
+            out[:valid] = (logs[:valid] - logs[:valid].mean(0)) / (spread + NORM_EPS)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                f = features_of(np.array(x or [], np.float64))
+                n = len(f)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * f.size, pa.int64()), pa.array(np.repeat(np.arange(n), n_mels)), pa.array(np.tile(np.arange(n_mels), n)), pa.array(f.ravel())], ["key", "frame", "mel", "feature"])
+
+    return rows.select(F.col(key).cast("long"), samples).mapInArrow(run, "key long, frame long, mel long, feature double").withColumnRenamed("key", key)
+
+
 def log_normalised(power: DataFrame, by: list[str], order: str, valid: str = "valid") -> DataFrame:
     """Log power over the rows of ``by``, normalised over rows flagged ``valid``;
     the rest are 0. Needs columns power and ``valid``."""

@@ -181,7 +181,17 @@ def vad_pad_clamp(spark, d):
     return gate.pad_and_clamp(gate.segments(f), totals)
 
 
-@query()
+_RULES = "prob < 0.35 AND s0 IS NOT NULL AND pos - coalesce(p0, pos) >= 1600"
+
+
+@query(f"""WITH RECURSIVE {FRAMES.replace('AS (SELECT user_id', 'AS MATERIALIZED (SELECT user_id')},
+r AS (SELECT DISTINCT source_id, CAST(-1 AS BIGINT) i, CAST(NULL AS BIGINT) s, CAST(NULL AS BIGINT) p, CAST(NULL AS BIGINT) a, CAST(NULL AS BIGINT) b FROM frames
+UNION ALL SELECT source_id, i, CASE WHEN prob >= 0.5 THEN coalesce(s0, pos) WHEN {_RULES} THEN NULL ELSE s0 END, CASE WHEN prob >= 0.5 OR {_RULES} THEN NULL WHEN prob < 0.35 AND s0 IS NOT NULL THEN coalesce(p0, pos) ELSE p0 END,
+CASE WHEN cut THEN s WHEN {_RULES} AND coalesce(p0, pos) - s0 > 4000 THEN s0 END, CASE WHEN cut THEN pos WHEN {_RULES} AND coalesce(p0, pos) - s0 > 4000 THEN coalesce(p0, pos) END
+FROM (SELECT f.source_id, f.i, f.i * 512 pos, f.prob, r.s, coalesce(f.i * 512 - r.s > 8128, false) cut, CASE WHEN coalesce(f.i * 512 - r.s > 8128, false) THEN NULL ELSE r.s END s0, CASE WHEN coalesce(f.i * 512 - r.s > 8128, false) THEN NULL ELSE r.p END p0 FROM r JOIN frames f ON f.source_id = r.source_id AND f.i = r.i + 1)),
+last AS (SELECT source_id, max(i) i FROM frames GROUP BY 1),
+found AS (SELECT source_id, a, b FROM r WHERE a IS NOT NULL UNION ALL SELECT source_id, r.s, (r.i + 1) * 512 FROM r JOIN last USING (source_id, i) WHERE (r.i + 1) * 512 - r.s > 4000)
+SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY a) - 1 AS segment, a start_sample, b end_sample FROM found""")
 def vad_max_split(spark, d):
     config = GateConfig(max_speech=600_000_000)
     f = frames(spark, d).select("source_id", "i", "prob").repartition("source_id").sortWithinPartitions("source_id", "i")
@@ -249,19 +259,6 @@ def detok_space(spark, d):
     return table(spark, d, "documents").select("doc_id", tokens.detokenise(_pieces(), F.lit(True)).alias("detok"))
 
 
-@query("""WITH v AS (SELECT c_nationkey k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 + CASE WHEN c_nationkey % 3 = 1 AND c_custkey % 5 = 0 THEN 1 ELSE 0 END id, CASE WHEN c_nationkey % 3 = 2 AND row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1 THEN '<blank>' ELSE c_name END tok FROM customer),
-x AS (SELECT *, lag(id) OVER (PARTITION BY k ORDER BY id) p FROM v)
-SELECT CAST(k AS BIGINT) vocabulary, CASE WHEN max(CASE WHEN id = p THEN 1 ELSE 0 END) = 1 THEN 'duplicate_id' WHEN max(CASE WHEN id <> coalesce(p + 1, 0) THEN 1 ELSE 0 END) = 1 THEN 'gap' WHEN max(CASE WHEN tok = '<blank>' THEN id END) <> max(id) THEN 'blank_not_last' ELSE 'ok' END result FROM x GROUP BY k""")
-def vocab_validate(spark, d):
-    """Vocabulary lines made of customers, one vocabulary a nation, some of them broken."""
-    n = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
-    token = F.when((F.col("c_nationkey") % 3 == 2) & (n == 1), "<blank>").otherwise(F.col("c_name"))
-    index = n - 1 + F.when((F.col("c_nationkey") % 3 == 1) & (F.col("c_custkey") % 5 == 0), 1).otherwise(0)
-    lines = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("vocabulary"), F.concat_ws(" ", token, index.cast("string")).alias("line"))
-    parsed = lines.select("vocabulary", "line").where(F.trim("line") != "").select("vocabulary", F.regexp_extract("line", "^(.*) ([^ ]*)$", 1).alias("token"), F.expr("try_cast(regexp_extract(line, '^(.*) ([^ ]*)$', 2) as bigint)").alias("token_id"), F.col("line").rlike("^(.*) ([^ ]*)$").alias("split"))
-    return decode.vocabulary_errors(parsed, "vocabulary")
-
-
 # -- events ------------------------------------------------------------------------------------------------
 
 
@@ -309,24 +306,27 @@ def rtf(spark, d):
     return li.select("l_orderkey", "l_linenumber", events.realtime_factor(F.col("inference_ns"), F.lit(0).cast("long"), F.col("end_ns")).alias("rtf"))
 
 
-_METRICS = """mv AS (SELECT user_id % 20 AS session_id, event_id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 1 ELSE 0 END emitted, CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END received FROM events),
-wk AS (SELECT *, sum(emitted - received) OVER w walk, sum(emitted) OVER w n_emitted FROM mv WINDOW w AS (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
-pd AS (SELECT *, walk - least(min(walk) OVER (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) pending FROM wk),
-met AS (SELECT session_id, event_id, CAST(pending AS BIGINT) pending, CAST(n_emitted AS BIGINT) n_emitted, CAST(n_emitted - pending AS BIGINT) n_received, CAST(max(pending) OVER (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) peak_pending FROM pd)"""
+_MOVES = """mv AS MATERIALIZED (SELECT user_id % 20 AS session_id, event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) n, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 1 ELSE 0 END e, CASE WHEN event_type = 'purchase' THEN 2 ELSE 0 END r, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 3 ELSE 0 END d, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END f FROM events)"""
+_METRICS = _MOVES + """, met AS (SELECT DISTINCT session_id, CAST(NULL AS BIGINT) event_id, CAST(0 AS BIGINT) n, CAST(0 AS BIGINT) pending, CAST(0 AS BIGINT) peak_pending, CAST(0 AS BIGINT) n_emitted, CAST(0 AS BIGINT) n_received, CAST(0 AS BIGINT) n_discarded, CAST(0 AS BIGINT) n_failures, false receiver_closed FROM mv
+UNION ALL SELECT mv.session_id, mv.event_id, mv.n, greatest(pending + e - r - d, 0), greatest(peak_pending, pending + e - r - d), n_emitted + e, n_received + r, n_discarded + d, n_failures + f, receiver_closed OR d > 0 FROM met JOIN mv ON mv.session_id = met.session_id AND mv.n = met.n + 1)"""
 
 
 def _metrics(spark, d):
     kind = F.col("event_type")
-    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("session_id"), "event_id", kind.isin("click", "view", "signup").cast("int").alias("emitted"), kind.isin("purchase", "error").cast("int").alias("received"))
+    counts = {"emitted": kind.isin("click", "view", "signup").cast("int"), "received": F.when(kind == "purchase", 2).otherwise(0), "discarded": F.when((kind == "error") & (F.col("event_id") % 3 == 0), 3).otherwise(0), "failures": (kind == "error").cast("int")}
+    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("session_id"), "event_id", *[c.alias(k) for k, c in counts.items()])
     return events.delivery_metrics(e, "session_id", "event_id")
 
 
-@query(f"WITH {_METRICS} SELECT session_id, event_id, pending, peak_pending, n_emitted, n_received FROM met")
+_COUNTERS = ["pending", "peak_pending", "n_emitted", "n_received", "n_discarded", "n_failures", "receiver_closed"]
+
+
+@query(f"WITH RECURSIVE {_METRICS} SELECT session_id, event_id, {', '.join(_COUNTERS)} FROM met WHERE n > 0")
 def output_metrics(spark, d):
-    return _metrics(spark, d).select("session_id", "event_id", "pending", "peak_pending", "n_emitted", "n_received")
+    return _metrics(spark, d).select("session_id", "event_id", *_COUNTERS)
 
 
-@query(f"""WITH {_METRICS}, lv AS (SELECT session_id, event_id, peak_pending, CASE WHEN peak_pending < 32 THEN 0 ELSE CAST(floor(log2(peak_pending / 32.0) + 1e-9) AS BIGINT) + 1 END lvl FROM met),
+@query(f"""WITH RECURSIVE {_METRICS}, lv AS (SELECT session_id, event_id, peak_pending, CASE WHEN peak_pending < 32 THEN 0 ELSE CAST(floor(log2(peak_pending / 32.0) + 1e-9) AS BIGINT) + 1 END lvl FROM met WHERE n > 0),
 pr AS (SELECT *, coalesce(lag(lvl) OVER (PARTITION BY session_id ORDER BY event_id), 0) was FROM lv)
 SELECT session_id, event_id, peak_pending, lvl AS level FROM pr WHERE lvl > was""")
 def backlog_warnings(spark, d):
@@ -429,6 +429,8 @@ def mean_score(frame) -> float:
 def shared_dir(spark) -> str:
     """``spark.checkpoint.dir``, or a folder of this session where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     return (found or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
 
 
@@ -438,3 +440,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from wavemill.plans import speech  # noqa: E402,F401  registers its queries
