@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: one must fit a Python worker whatever its texts.
-ARROW_ROWS, ARROW_BYTES = 4096, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

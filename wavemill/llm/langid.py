@@ -222,7 +222,7 @@ def _predict(model_of):
             data, offsets = string_parts(lowered)
             langs, scores = [], []
             # more labels, shorter slices: transfer matrices are labels by labels
-            for lo, hi in slices(offsets, max_bytes=(4 << 20) * 8 // max(8, len(model.langs) if model else 1)):
+            for lo, hi in slices(offsets, max_bytes=(2 << 20) * 8 // max(8, len(model.langs) if model else 1)):
                 w = words(data, offsets[lo : hi + 1], lower=False)
                 rows = hi - lo
                 share = np.zeros((rows, len(model.langs) if model else 1))

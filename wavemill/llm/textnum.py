@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows and bytes handled at a time; rows must fit the 12 bits of a shingle key.
-SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 2 << 20
 ROW_SHIFT = np.uint64(52)
 VALUE_MASK = np.uint64((1 << 52) - 1)
 
