@@ -33,8 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest id, of each near-duplicate group; documents
     without an id stay, once each. Repeated rows, told by a hash of the text, are one."""
     groups = jaccard_components(docs, n=5, num=4, den=5)
-    kept = _by_row(docs, groups, "doc_id is null or doc_id = component_id")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    ids = groups.where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    # dealt by doc_id for the join, which serves the repeated rows too
+    known = rows.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"])
+    return known.unionByName(rows.where("doc_id is null").dropDuplicates(["__text"])).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
