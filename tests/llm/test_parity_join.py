@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import Row
 
+from wavemill.llm import parity_join
 from wavemill.llm.parity_join import jaccard_components
 
 
@@ -68,6 +69,20 @@ def test_against_brute_force(spark):
     check(spark, corpus(2), 5, 4, 5)
 
 
+def test_group_of_many_tiles(spark, monkeypatch):
+    """Texts of one leader that are mostly not linked to it, dealt over many tiles."""
+    monkeypatch.setattr(parity_join, "TILE", 8)
+    rnd = random.Random(5)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for k in rnd.sample(range(40), rnd.randrange(1, 4)):
+            t[k] = f"z{rnd.randrange(3)}"
+        rows.append((i, " ".join(t)))
+    check(spark, rows, 2, 4, 5)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (None, "one two"), (8, "x " * 30000), (9, "x " * 20000), (9, "x " * 20000), (10, "é e"), (11, "É e")]
     check(spark, rows, 3, 9, 10)

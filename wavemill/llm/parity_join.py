@@ -30,8 +30,8 @@ from .base import cut, prepare, spread
 from .components import components
 from .textnum import mix64, shingle_sets, slices, string_parts, words
 
-#: Rows of a tile in the second step, on average.
-TILE = 512
+#: Rows of a tile in the second step, on average, and shares a leader's group is dealt in.
+TILE, SALTS = 512, 32
 
 _POSITION = np.uint64((1 << 24) - 1)
 _SEEDS = [np.uint64(0x51ED270B7F4A7C15 + 0x9E3779B97F4A7C15 * j & (1 << 64) - 1) for j in range(8)]
@@ -273,8 +273,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
         .where("lo < hi")
         .select("leader", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     )
-    # a large group is dealt to pairs of bounded tiles
-    member = group.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # a large group is dealt to pairs of bounded tiles; a leader may have any share of
+    # all rows, so its members meet the number of tiles in salted shares
+    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    share = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    member = group.withColumn("salt", share).join(salted, ["leader", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = member.join(facts, "node").select("leader", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", "root", "size", "d", "own", "sketch")
     rest = (
         tiles.repartition("leader", "ti", "tj")
