@@ -66,3 +66,30 @@ def test_odd_rows(spark):
     check(spark, [(1, [1.0, 0.0]), (2, [2.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, []), (None, [1.0, 0.0]), (8, [-1.0, 0.0]), (9, [1e-200, 0.0])])
     check(spark, [(1, None)])
     assert ego_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_large_groups_and_clusters(spark, monkeypatch):
+    """Dense groups that span blocks, and clusters whose blocks need not meet."""
+    monkeypatch.setattr(ego_join, "BLOCK", 64)
+    monkeypatch.setattr(ego_join, "LEAF", 16)
+    rng = np.random.default_rng(6)
+    dense = rng.normal(size=8) + rng.normal(size=(400, 8)) * 0.05
+    spread = rng.normal(size=(30, 8))[rng.integers(0, 30, 500)] + rng.normal(size=(500, 8)) * 0.05
+    v = np.concatenate((dense, spread))
+    check(spark, [(int(i), [float(c) for c in x]) for i, x in zip(rng.permutation(900), v)])
+
+
+def test_order_and_boxes():
+    """The order refines the join's cells, and far clusters share no near boxes."""
+    rng = np.random.default_rng(7)
+    u = ego_join.unit(rng.normal(size=(60, 24))[rng.integers(0, 60, 100_000)] + rng.normal(size=(100_000, 24)) * 0.05)
+    axes = ego_join.axes_of(u[:4096])
+    eps = float(np.sqrt(0.2))
+    z = u @ axes
+    order = np.argsort(ego_join.order_codes(z, eps), kind="stable")
+    codes = ego_join._codes(ego_join.cells_of(z, eps))[order]
+    assert (np.diff(codes) >= 0).all()
+    runs = [z[order[i : i + ego_join.LEAF]] for i in range(0, len(z), ego_join.LEAF)]
+    low, high = np.array([r.min(0) for r in runs]), np.array([r.max(0) for r in runs])
+    gap = np.maximum(np.maximum(low[:, None] - high[None], low[None] - high[:, None]), 0)
+    assert ((gap**2).sum(-1) <= eps * eps).mean() < 0.3

@@ -3,9 +3,11 @@
 Unit vectors are turned onto principal axes and sorted by the grid cells of the
 leading ones, cells as wide as the largest distance that the cosine threshold
 allows. Runs of the sorted sequence are blocks. Two blocks meet only if they
-hold rows in equal or adjoining cells; then their intervals are halved again and
-again, pairs of intervals whose boxes are too far apart are skipped, and small
-intervals are compared by matrix product in double precision.
+hold rows in equal or adjoining cells, and if a small interval of one has a box
+near enough to the box of one of the other; only then do their vectors travel.
+Their intervals are halved again and again, pairs of intervals whose boxes are
+too far apart are skipped, and small intervals are compared by matrix product in
+double precision.
 
 A pair of blocks returns, per vector with links in it, their number and one
 vector it is connected to, so the output stays linear in dense groups.
@@ -57,12 +59,22 @@ def _codes(cells: np.ndarray) -> np.ndarray:
     return code
 
 
+def order_codes(z: np.ndarray, eps: float) -> np.ndarray:
+    """Rows' places in the grid order: cells of as many leading axes as 62 bits hold."""
+    most = int(1 / eps) + 2
+    bits = (2 * most).bit_length()
+    code = np.zeros(len(z), np.int64)
+    for c in z.T[: 62 // bits]:
+        code = (code << bits) | (np.floor(c / eps).astype(np.int64) + most)
+    return code
+
+
 def _ordered(axes: np.ndarray, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(2))
             z = unit(x) @ axes if len(x) else np.zeros((0, axes.shape[1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_codes(cells_of(z, eps)))], ["id", "copies", "vector", "code"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order_codes(z, eps))], ["id", "copies", "vector", "code"])
 
     return run
 
@@ -76,6 +88,7 @@ def _blocks(axes: np.ndarray, eps: float):
         z = u @ axes
         cells = np.unique(cells_of(z, eps), axis=0)
         around = np.unique(_codes((cells[:, None] + steps[None]).reshape(-1, cells.shape[1])))
+        runs = [z[i : i + LEAF] for i in range(0, len(z), LEAF)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
@@ -86,8 +99,10 @@ def _blocks(axes: np.ndarray, eps: float):
                 pa.array([z.max(0).tolist()]),
                 pa.array([_codes(cells).tolist()], pa.list_(pa.int64())),
                 pa.array([around.tolist()], pa.list_(pa.int64())),
+                pa.array([[x.min(0).tolist() for x in runs]]),
+                pa.array([[x.max(0).tolist() for x in runs]]),
             ],
-            ["block", "ids", "copies", "units", "low", "high", "cells", "around"],
+            ["block", "ids", "copies", "units", "low", "high", "cells", "around", "lows", "highs"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +204,24 @@ def _joined(axes: np.ndarray, cosine: float, width: int):
     return run
 
 
+def _near(alow, ahigh, blow, bhigh, eps: float):
+    """Whether two boxes are at most ``eps`` apart, with room for rounding."""
+    apart = F.zip_with(F.zip_with(alow, bhigh, lambda x, y: x - y), F.zip_with(blow, ahigh, lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return F.aggregate(apart, F.lit(0.0), lambda acc, g: acc + g * g) <= eps * eps + 1e-9
+
+
+def near_pairs(blocks: DataFrame, eps: float) -> DataFrame:
+    """(a, b), a < b, of blocks that may hold a link: they share or adjoin a cell,
+    and the boxes of a pair of their small intervals are near enough."""
+    left = blocks.select(F.col("block").alias("a"), F.col("low").alias("alow"), F.col("high").alias("ahigh"), F.explode("around").alias("cell"))
+    right = blocks.select(F.col("block").alias("b"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), F.explode("cells").alias("cell"))
+    met = left.join(right, "cell").where("a < b").where(_near("alow", "ahigh", "blow", "bhigh", eps)).select("a", "b").distinct()
+    of = F.arrays_zip("lows", "highs")
+    x, y = blocks.select(F.col("block").alias("a"), of.alias("x")), blocks.select(F.col("block").alias("b"), of.alias("y"))
+    close = F.exists("x", lambda p: F.exists("y", lambda r: _near(p["lows"], p["highs"], r["lows"], r["highs"], eps)))
+    return met.join(x, "a").join(y, "b").where(close).select("a", "b")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> ``(vec_id, n_links, component_id, kept)``, a
     row per input row.
@@ -217,16 +250,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         ordered.repartitionByRange("code", "id")
         .sortWithinPartitions("code", "id")
         .select("id", "copies", "vector")
-        .mapInArrow(_blocks(axes, eps), "block long, ids binary, copies binary, units binary, low array<double>, high array<double>, cells array<long>, around array<long>")
+        .mapInArrow(_blocks(axes, eps), "block long, ids binary, copies binary, units binary, low array<double>, high array<double>, cells array<long>, around array<long>, lows array<array<double>>, highs array<array<double>>")
     )
-    left = blocks.select(F.col("block").alias("a"), F.col("low").alias("alow"), F.col("high").alias("ahigh"), F.explode("around").alias("cell"))
-    right = blocks.select(F.col("block").alias("b"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), F.explode("cells").alias("cell"))
-    gap = F.aggregate(F.zip_with(F.zip_with("alow", "bhigh", lambda x, y: x - y), F.zip_with("blow", "ahigh", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda acc, g: acc + g * g)
-    pairs = left.join(right, "cell").where("a <= b").where(gap <= eps * eps + 1e-9).select("a", "b").distinct()
+    pairs = near_pairs(blocks, eps)
     body = ("ids", "copies", "units")
     x = blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"{c}_a") for c in body))
     y = blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"{c}_b") for c in body))
-    both = pairs.where("a < b").join(x, "a").join(y, "b").select(*x.columns[1:], *y.columns[1:])
+    both = pairs.join(x, "a").join(y, "b").select(*x.columns[1:], *y.columns[1:])
     same = x.select(*x.columns[1:], *(F.lit(None).cast("binary").alias(c) for c in y.columns[1:]))
     cores = spark.sparkContext.defaultParallelism
     work = both.unionByName(same).repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
