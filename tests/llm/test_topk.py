@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from wavemill.llm import topk
 
@@ -33,6 +34,28 @@ def test_against_brute_force(spark):
     check(spark, np.arange(0, 500, 100), rng.normal(size=(5, 3)))
 
 
+def test_bounds_hold_and_stop():
+    """No score exceeds its annulus's bound, and on clustered vectors a query's
+    k-th score rules out most annuli."""
+    rng = np.random.default_rng(5)
+    x = np.floor(1024 * (rng.normal(size=(48, 16))[rng.integers(0, 48, 20000)] + rng.normal(size=(20000, 16)) * 0.05))
+    pivots = topk.fit_pivots(x[:4096])
+    d = topk.distances(x, pivots)
+    near = d.argmin(1)
+    dist = d[np.arange(len(x)), near]
+    edges = np.stack([np.quantile(dist[near == i], np.linspace(0, 1, 9)[1:-1]) for i in range(len(pivots))])
+    ring = (edges[near] <= dist[:, None]).sum(1)
+    rows = pd.DataFrame({"pivot": near, "ring": ring, "dist": dist, "norm": (x**2).sum(1)})
+    cells = rows.groupby(["pivot", "ring"], as_index=False).agg(r1=("dist", "min"), r2=("dist", "max"), top=("norm", "max"))
+    q = x[:200]
+    best = topk.bounds(q, pivots, cells)
+    score = q @ x.T
+    for c, (p, r) in enumerate(zip(cells["pivot"], cells["ring"])):
+        assert (score[:, (near == p) & (ring == r)].max(1) <= best[:, c]).all()
+    floor = np.sort(score, 1)[:, -11]
+    assert (best >= floor[:, None]).mean() < 0.25
+
+
 def test_odd_rows(spark):
     rows = [(100, [1.0, 2.0]), (200, None), (300, [1.0, None]), (400, [float("nan"), 1.0]), (1, [0.5, -3.0]), (None, [1.0, 1.0]), (2, []), (1, [0.5, -3.0])]
     got = topk.embeddings_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

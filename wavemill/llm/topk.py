@@ -1,12 +1,14 @@
 """Exact top-k inner products through a pivot-distance index.
 
 Vectors are made integers, so scores are exact. Each vector is keyed by its
-nearest pivot and the annulus of its distance to it. A query first searches the
-annuli around its own distance in its nearest pivot's cells, which gives a k-th
-score to beat; after that an annulus with distances in [r1, r2] from pivot p is
-searched only if the triangle inequality allows a better score there:
+nearest pivot and the annulus of its distance to it. An annulus with distances
+in [r1, r2] from pivot p can hold a score only up to a bound by the triangle
+inequality:
     |q - x| >= max(d(q, p) - r2, r1 - d(q, p), 0)  and
     2 <q, x> = |q|^2 + |x|^2 - |q - x|^2.
+A query visits the annuli sorted by that bound, a few first and then more at a
+time, and stops where the bound falls below its k-th score so far: all further
+ones are bounded lower still.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .base import cut, prepare, spread
 
 #: Pivots, annuli of a pivot, vectors they are fitted on, and rows of a tile.
 PIVOTS, ANNULI, SAMPLE, TILE = 48, 8, 4096, 2048
+#: A query's first annuli, and how many times as many it has visited after each further step.
+FIRST, WIDEN = 4, 8
 
 
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -80,36 +84,30 @@ def _index(pivots: np.ndarray, edges: np.ndarray):
     return run
 
 
-def _route(pivots: np.ndarray, cells: pd.DataFrame, seed: bool):
-    """(query, cell) pairs. ``seed``: the rings next to the query in its nearest
-    pivot; else every other ring whose bound reaches the query's floor."""
-    cp, cr = cells["pivot"].to_numpy(), cells["ring"].to_numpy()
-    r1, r2, top = (cells[c].to_numpy() for c in ("r1", "r2", "top"))
+def bounds(q: np.ndarray, pivots: np.ndarray, cells: pd.DataFrame) -> np.ndarray:
+    """The highest score that each query can have in each annulus, with room for rounding."""
+    at, r1, r2, top = (cells[c].to_numpy() for c in ("pivot", "r1", "r2", "top"))
+    d = distances(q, pivots)[:, at]
+    far = np.maximum(np.maximum(d - r2, r1 - d), 0)
+    best = ((q**2).sum(1)[:, None] + top - far**2) / 2
+    return best + np.abs(best) * 1e-9 + 1
+
+
+def _route(pivots: np.ndarray, cells: pd.DataFrame, lo: int, hi: int):
+    """(query, annulus) of places ``lo`` to ``hi`` in the order of bounds, as far as
+    the bounds reach the query's floor."""
+    cp, cr = (cells[c].to_numpy().astype(np.int32) for c in ("pivot", "ring"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = matrix(b.column(1))
-            if not len(q):
+            if not len(b):
                 continue
-            d = distances(q, pivots)
-            home = d.argmin(1)
-            out_q, out_c = [], []
-            for i in range(len(q)):
-                mine = cp == home[i]
-                off = np.where(mine, np.maximum(np.maximum(d[i, home[i]] - r2, r1 - d[i, home[i]]), 0), np.inf)
-                first = np.flatnonzero(mine & (off <= np.sort(off)[min(1, len(off) - 1)]))
-                if seed:
-                    go = first
-                else:
-                    far = np.maximum(np.maximum(d[i, cp] - r2, r1 - d[i, cp]), 0)
-                    best = ((q[i] ** 2).sum() + top - far**2) / 2
-                    floor = b.column(2)[i].as_py()
-                    go = np.flatnonzero(best + np.abs(best) * 1e-9 + 1 >= (-np.inf if floor is None else floor))  # room for rounding
-                    go = np.setdiff1d(go, first)
-                out_q.append(np.full(len(go), i))
-                out_c.append(go)
-            at, go = np.concatenate(out_q).astype(np.int64), np.concatenate(out_c).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cp[go].astype(np.int32)), pa.array(cr[go].astype(np.int32))], ["query_id", "query", "pivot", "ring"])
+            best = bounds(matrix(b.column(1)), pivots, cells)
+            go = np.argsort(-best, axis=1, kind="stable")[:, lo:hi]
+            floor = b.column(2).to_numpy(zero_copy_only=False).astype(float)  # no floor yet: nan
+            at, place = np.nonzero(~(np.take_along_axis(best, go, 1) < floor[:, None]))
+            cell = go[at, place]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cp[cell]), pa.array(cr[cell])], ["query_id", "query", "pivot", "ring"])
 
     return run
 
@@ -184,12 +182,22 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOT
         x = x.select(*[F.col(c).alias(f"x_{c}") for c in key], "vec_id", "vector")  # names of its own: both sides stem from one table
         return q.select(*key, "query_id", "query").groupBy(*key).cogroup(x.groupBy(*[f"x_{c}" for c in key])).applyInArrow(_search(k), "query_id long, vec_id long, score long")
 
-    cell_schema = "query_id long, query array<double>, pivot int, ring int"
-    seeds = cut(searched(asked.mapInArrow(_route(centers, cells, True), cell_schema)))
-    reached = seeds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    open_ = asked.join(reached, "query_id", "left").select("query_id", "query", F.col("floor").cast("double").alias("floor"))
-    rest = searched(open_.mapInArrow(_route(centers, cells, False), cell_schema))
-    return seeds.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a loop over steps of widening, not over rows: few, whatever the tables' sizes
+    found, lo, hi = None, 0, FIRST
+    while lo < len(cells):
+        if found is None:
+            open_ = asked.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            reached = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+            open_ = asked.join(reached, "query_id", "left").select("query_id", "query", "floor")
+        routed = cut(open_.mapInArrow(_route(centers, cells, lo, hi), "query_id long, query array<double>, pivot int, ring int"))
+        if found is not None and routed.isEmpty():
+            break
+        new = searched(routed)
+        seen = new if found is None else new.unionByName(found.drop("rank"))
+        found = cut(seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        lo, hi = hi, hi * WIDEN
+    return empty if found is None else found.select("query_id", "rank", "vec_id", "score")
 
 
 def embeddings_top_k(embeddings: DataFrame, k: int = 10, scale: int = 1024, every: int = 100) -> DataFrame:
