@@ -66,22 +66,6 @@ def test_spectrum_and_normalise(spark):
     assert np.allclose(basis, features.mel_basis(80), atol=1e-6)
 
 
-@pytest.mark.parametrize("rate", [44_100, 48_000])
-@pytest.mark.parametrize("n", [1, 137, 439, 441, 480, 4817])
-def test_resample_length(rate, n):
-    assert len(features.resample(np.ones(n), rate)) == -(-n * 16_000 // rate)
-
-
-def test_resample_impulse():
-    for rate in (44_100, 48_000):
-        for at in (0, rate // 10 - 1):
-            x = np.zeros(rate // 10)
-            x[at] = 1
-            y = features.resample(x, rate)
-            peak = int(np.abs(y).argmax())
-            assert len(y) == 1600 and (peak < 5 if at == 0 else peak >= 1595)
-
-
 def test_tokens(spark):
     t = lambda *v: F.array(*map(F.lit, v))
     assert one(spark, tokens.argmax_last(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0)))) == (2,)
@@ -89,22 +73,6 @@ def test_tokens(spark):
     assert one(spark, tokens.trim_unicode(F.lit("　 a b \t"))) == ("a b",)
 
 
-def test_greedy_decode_and_walk(spark):
-    rng = np.random.default_rng(2)
-    for _ in range(20):
-        n = int(rng.integers(1, 12))
-        token, skip = rng.integers(0, 4, n), rng.integers(0, 3, n)
-
-        def joint(frame, previous, state):
-            v = np.zeros(7)
-            v[int(frame[0])], v[4 + int(frame[1])] = 1, 1
-            return v, state
-
-        want = decode.greedy_decode(joint, np.stack([token, skip]), n, 4, None)
-        steps = F.array(*[F.struct(F.lit(i).cast("long").alias("frame"), F.lit(int(a)).cast("long").alias("token"), F.lit(int(b)).cast("long").alias("dur")) for i, (a, b) in enumerate(zip(token, skip))])
-        assert [r.token for r in one(spark, tokens.transducer_walk(steps, 3, F.lit(n).cast("long")))[0]] == want
-
-
 def test_vocabulary(spark):
     def result(*lines):
         parsed = decode.parse_vocabulary(spark.createDataFrame([(x,) for x in lines], "line string"))

@@ -17,10 +17,6 @@ def normalise(sample: Column, bits: Column) -> Column:
     return sample.cast("double") / F.pow(F.lit(2.0), bits - 1)
 
 
-def normalise_all(samples: Column, bits: Column) -> Column:
-    return F.transform(samples, lambda x: normalise(x, bits).cast("float"))
-
-
 def downmix(samples: Column, channels: Column | int) -> Column:
     """Mean of each interleaved frame; an incomplete last frame is dropped."""
     c = channels if isinstance(channels, Column) else F.lit(channels)

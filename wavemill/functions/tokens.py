@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,49 +28,3 @@ def detokenise(tokens: Column, spaces: Column) -> Column:
 
 def trim_unicode(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def transducer_walk(steps: Column, blank: int, frames: Column) -> Column:
-    """The greedy walk over per-frame (token, dur) decisions.
-
-    A token that is not blank is kept. A positive duration moves on by it;
-    otherwise blank, or the last token a frame may emit, moves on by one. Within a
-    frame the decision of precomputed logits repeats until then. Returns an array
-    of (frame, token).
-    """
-    empty = F.array().cast("array<struct<frame:long,token:long>>")
-    start = F.struct(F.lit(0).cast("long").alias("t"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        t = x["frame"]
-        here = (acc["t"] == t) & (t < frames)
-        blanked = x["token"] == blank
-        times = F.when(blanked, 0).when(x["dur"] > 0, 1).otherwise(PER_FRAME)
-        out = F.concat(acc["out"], F.array_repeat(F.struct(t.alias("frame"), x["token"].alias("token")), times))
-        moved = acc["t"] + F.when(x["dur"] > 0, x["dur"]).otherwise(F.lit(1).cast("long"))
-        return F.struct(F.when(here, moved).otherwise(acc["t"]).alias("t"), F.when(here, out).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
-
-
-def stream_walk(blank: int):
-    """``transducer_walk`` for ``mapInArrow`` over (source, frame, token, dur) rows
-    sorted by source and frame: gives (source, frame, token, n), n the tokens that
-    the frame emits, and holds one batch whatever a source's length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, t = object(), 0
-        for b in batches:
-            out = []
-            for source, frame, token, dur in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if source != key:
-                    key, t = source, 0
-                if frame != t:
-                    continue
-                if token != blank:
-                    out.append((source, frame, token, 1 if dur > 0 else PER_FRAME))
-                t += dur if dur > 0 else 1
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["source_id", "frame", "token", "n"])
-
-    return run

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.functions.tokens import PER_FRAME
+from wavemill.operators import scan
 
 #: Names of the blank token.
 BLANKS = ("<blank>", "<blk>")
@@ -96,6 +97,14 @@ class FakeTransducer:
         return logits, (2 * state + x + 1) % 7
 
 
+class FeatureTransducer(FakeTransducer):
+    """The stand-in on [frame, mel] features: a whole number of each valid frame."""
+
+    def encode(self, features: np.ndarray) -> np.ndarray:
+        valid = np.asarray(features, np.float64).reshape(len(features), -1)[:-1]  # the last frame is the tail
+        return np.floor(valid[:, :3] @ np.array([5.0, 3.0, 7.0]))[None] % 97 if len(valid) else np.zeros((1, 0))
+
+
 def recognise(utterances: DataFrame, model: Callable[[], FakeTransducer], vocabulary: list[str], samples: str = "samples") -> DataFrame:
     """``utterances`` with a ``pieces`` column instead of samples: encoder, greedy
     decode with the model's state, and vocabulary look-up, which skips ids that the
@@ -117,6 +126,47 @@ def recognise(utterances: DataFrame, model: Callable[[], FakeTransducer], vocabu
     return utterances.select(*kept, samples).mapInArrow(run, schema)
 
 
+def _visits(longest: int):
+    def run(batch: pa.RecordBatch, base: int) -> Iterator[pa.RecordBatch]:
+        begin, n = scan.starts(batch.column(0)), batch.num_rows
+        frame, dur = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
+        if int(dur.max()) > longest:
+            raise ValueError(f"a duration of {int(dur.max())} frames; the longest is {longest}")
+        mask, exits = scan.jumps(begin, frame, np.maximum(dur, 1), longest)
+        ends = np.append(begin[1:], n) - 1
+        last = np.zeros(n, bool)
+        last[ends] = True
+        at = np.cumsum(last) - last
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(last))) * longest, pa.int32()), pa.array(exits.ravel()))
+        added = [pa.array(np.full(n, base)), pa.array(mask), pa.array(last), pa.array(frame[begin][at]), lists]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "piece", "mask", "last", "first", "exits"])
+
+    return run
+
+
+def transducer_steps(steps: DataFrame, blank: int, by: str = "source_id", longest: int = 4) -> DataFrame:
+    """The greedy walk over ``steps(by, frame, token, dur)`` of precomputed decisions ->
+    ``(by, frame, token, n)``, n the tokens that a visited frame emits.
+
+    The walk starts at frame 0. A positive duration, ``longest`` at most, moves on
+    by it; otherwise blank, or the last token a frame may emit, moves on by one.
+    It ends where a frame is missing. Pieces of a source are walked from all
+    entries at once, so a source of any length spreads over tasks.
+    """
+    rows = steps.select(by, *[F.col(c).cast("long").alias(c) for c in ("frame", "token", "dur")])
+    parts = scan.pieces(rows, by, ["frame"], _visits(longest), "piece long, mask long, last boolean, first long, exits array<long>")
+
+    def enter(t: int, row: list) -> tuple[int | None, int]:
+        first, end, exits = row
+        if t > end or t == scan.DEAD:
+            return None, t
+        return (t - first, exits[t - first]) if 0 <= t - first < longest else (None, scan.DEAD)
+
+    entries = scan.entered(parts.where("last").select(by, "piece", "first", "frame", "exits"), by, 0, enter)
+    seen = parts.join(entries.where("entry is not null"), [by, "piece"]).where(f"token <> {blank} AND (shiftright(mask, CAST(entry AS INT)) & 1) = 1")
+    return seen.select(by, "frame", "token", F.when(F.col("dur") > 0, 1).otherwise(PER_FRAME).cast("long").alias("n"))
+
+
 def spaces_mode(vocabulary: list[str]) -> bool:
     """Whether word marks are spaces: so they are in vocabularies of many languages."""
     return "<|en|>" in vocabulary

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.functions import pcm
+from wavemill.operators.blocks import halo_blocks
+from wavemill.store import cut
 
 LOG_FLOOR, NORM_EPS = 2.0**-24, 1e-5
 
@@ -122,6 +123,73 @@ def framed_log_mel(rows: DataFrame, key: str, samples: str, n_mels: int = 80, n_
     return rows.select(F.col(key).cast("long"), samples).mapInArrow(run, "key long, frame long, mel long, feature double").withColumnRenamed("key", key)
 
 
+def framed_blocks(parts: DataFrame, by: list[str], n_mels: int = 80, n_fft: int = pcm.N_FFT, hop: int = pcm.HOP, window: int = pcm.WINDOW, frames: int = 64, start: str = "at", total: str = "total") -> DataFrame:
+    """Log-mel frames of utterances that arrive in parts, by blocks of ``frames``.
+
+    ``parts(by, start, samples, total)``: parts of an utterance follow each other
+    from place 0 to its ``total`` samples. A block gets the samples around its
+    frames, so frames reach over the borders of parts and no utterance is held
+    whole. Returns (by, block, first, frames, n, mean, m2): the block's frames
+    from ``first`` on, and count, means and squared deviations of its valid ones.
+    An utterance without samples has no rows.
+    """
+    size, before, after = frames * hop, n_fft // 2 + 1, max(0, n_fft // 2 - hop)
+    basis, shape = mel_basis(n_mels, n_fft, exact=True).T, np.zeros(n_fft)
+    shape[(n_fft - window) // 2 :][:window] = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / (window - 1))
+    k = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 32):
+                b = whole.slice(at, 32)
+                block, lo, total = (b.column(k + i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+                x = np.zeros((b.num_rows, before + size + after))
+                for r, part in enumerate(b.column(k + 2)):
+                    own = part.values.to_numpy(zero_copy_only=False)
+                    first = lo[r] - (block[r] * size - before)
+                    x[r, first : first + len(own)] = own
+                y = x[:, 1:] - pcm.EMPHASIS * x[:, :-1]
+                y[np.arange(y.shape[1]) + (block * size - before + 1)[:, None] >= total[:, None]] = 0
+                cut = np.lib.stride_tricks.sliding_window_view(y, n_fft, axis=1)[:, ::hop][:, :frames]
+                logs = np.log(np.abs(np.fft.rfft(cut * shape, axis=2)) ** 2 @ basis + LOG_FLOOR)
+                count = np.clip(total // hop + 1 - block * frames, 0, frames)
+                valid = np.clip(total // hop - block * frames, 0, frames)
+                listed = logs[np.arange(frames) < count[:, None]]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * n_mels, pa.int32()), pa.array(listed.ravel()))
+                outer = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), inner)
+                mask = (np.arange(frames) < valid[:, None])[:, :, None]
+                mean = np.where(mask, logs, 0).sum(1) / np.maximum(valid, 1)[:, None]
+                m2 = (np.where(mask, logs - mean[:, None], 0) ** 2).sum(1)
+                each = pa.array(np.arange(b.num_rows + 1) * n_mels, pa.int32())
+                added = [pa.array(block * frames), outer, pa.array(valid), *[pa.ListArray.from_arrays(each, pa.array(v.ravel())) for v in (mean, m2)]]
+                yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], *added], [*by, "block", "first", "frames", "n", "mean", "m2"]).filter(pa.array(count > 0))
+
+    x = halo_blocks(parts.select(*by, F.col(start).cast("long").alias("__at"), "samples", F.col(total).cast("long").alias("__total")), by, size, before, after, start="__at", carry=("__total",))
+    kinds = ", ".join(f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in by)
+    x = x.select(*by, "block", "lo", F.col("samples").cast("array<double>").alias("samples"), "__total")
+    return x.mapInArrow(run, f"{kinds}, block long, first long, frames array<array<double>>, n long, mean array<double>, m2 array<double>")
+
+
+def normalised_blocks(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """``framed_blocks`` rows -> (by, block, first, features): each mel over its
+    utterance's valid frames, mean 0 and deviation (n - 1) 1, and zeros after. The
+    blocks' moments are merged: means by their counts, squared deviations with the
+    shift of each block's mean."""
+    blocks = cut(blocks)
+    each = blocks.where("n > 0").select(*by, "n", F.posexplode(F.arrays_zip("mean", "m2")).alias("mel", "__v")).select(*by, "n", "mel", "__v.mean", "__v.m2")
+    mu = F.sum(F.col("n") * F.col("mean")).over(W.partitionBy(*by, "mel")) / F.sum("n").over(W.partitionBy(*by, "mel"))
+    merged = each.withColumn("mu", mu).groupBy(*by, "mel").agg(F.first("mu").alias("mu"), F.sum("n").alias("n"), F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("mu")) ** 2).alias("m2"))
+    scale = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0) + NORM_EPS
+    known = merged.groupBy(*by).agg(F.max("n").alias("__valid"), F.sort_array(F.collect_list(F.struct("mel", "mu", scale.alias("scale")))).alias("__m"))
+    x = blocks.select(*by, "block", "first", "frames").join(known, by, "left")
+
+    def one(frame, i):
+        scaled = F.zip_with(frame, "__m", lambda v, m: (v - m["mu"]) / m["scale"])
+        return F.when(F.col("first") + i < F.coalesce("__valid", F.lit(0)), scaled).otherwise(F.transform(frame, lambda v: F.lit(0.0)))
+
+    return x.select(*by, "block", "first", F.transform("frames", one).alias("features"))
+
+
 def log_normalised(power: DataFrame, by: list[str], order: str, valid: str = "valid") -> DataFrame:
     """Log power over the rows of ``by``, normalised over rows flagged ``valid``;
     the rest are 0. Needs columns power and ``valid``."""
@@ -141,31 +209,3 @@ def mel_filterbank(spark: SparkSession, n_mels: int = 80, n_fft: int = pcm.N_FFT
     x = cells.withColumns({"lo": point(0), "mid": point(1), "hi": point(2), "hz": F.col("bin") * F.lit(rate / 2) / F.lit(bins - 1)})
     rise, fall = (F.col("hz") - F.col("lo")) / (F.col("mid") - F.col("lo")), (F.col("hi") - F.col("hz")) / (F.col("hi") - F.col("mid"))
     return x.select("mel", "bin", (F.greatest(F.lit(0.0), F.least(rise, fall)) * 2 / (F.col("hi") - F.col("lo"))).alias("weight"))
-
-
-def resample(x: np.ndarray, rate: int, target: int = 16_000) -> np.ndarray:
-    """Band-limited resampling by FFT, to the quotient of lengths rounded up."""
-    if rate == target or not len(x):
-        return x.astype(np.float32)
-    n = -(-len(x) * target // rate)
-    pad = min(len(x), rate // 10)
-    ext = np.concatenate((np.zeros(pad), x, np.zeros(pad + (-(len(x) + 2 * pad)) % rate if len(x) < rate else pad)))
-    m = int(round(len(ext) * target / rate))
-    spectrum = np.fft.rfft(ext)
-    keep = np.zeros(m // 2 + 1, complex)
-    some = min(len(keep), len(spectrum))
-    keep[:some] = spectrum[:some]
-    out = np.fft.irfft(keep, m) * (m / len(ext))
-    first = int(round(pad * target / rate))
-    return np.pad(out[first : first + n], (0, max(0, n - len(out[first : first + n])))).astype(np.float32)
-
-
-def resample_sources(by: str, rate: str = "rate"):
-    """For ``applyInPandas`` over one source's ``(by, seq, rate, samples)``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x = np.concatenate([np.asarray(s, np.float32) for s in pdf["samples"]]) if len(pdf) else np.zeros(0)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "samples": [resample(x, int(pdf[rate].iloc[0]))]})
-
-    return run

@@ -9,15 +9,16 @@ an open segment ends with the audio. The negative threshold is 0.15 below.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.config import GateConfig, samples_of_ms
+from wavemill.functions.clock import div
+from wavemill.operators.blocks import ROWS, running_sum
 
 
 def segments(frames: DataFrame, config: GateConfig = GateConfig(), by: str = "source_id") -> DataFrame:
@@ -64,24 +65,32 @@ def pad_and_clamp(found: DataFrame, totals: DataFrame, config: GateConfig = Gate
     return clamped.where("p_end > p_start").select(by, "segment", F.col("p_start").alias("start_sample"), F.col("p_end").alias("end_sample"))
 
 
-def split_long(config: GateConfig = GateConfig(), by: str = "source_id"):
-    """For ``applyInPandas`` over a source's frames where speech may outlast
-    max_speech: the rules frame by frame, a segment cut at the cap."""
-    neg = config.threshold - config.neg_gap
-    silence, speech = samples_of_ms(config.min_silence), samples_of_ms(config.min_speech)
-    cap = samples_of_ms(config.max_speech) - config.frame - 2 * samples_of_ms(config.pad)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        rows = list(walk(zip(pdf["i"] * config.frame, pdf["prob"]), config.threshold, neg, silence, speech, cap, (int(pdf["i"].max()) + 1) * config.frame))
-        return pd.DataFrame({by: pdf[by].iloc[0], "segment": range(len(rows)), "start_sample": [a for a, _ in rows], "end_sample": [b for _, b in rows]}).astype("int64")
-
-    return run
-
-
-def split_stream(config: GateConfig = GateConfig(), by: str = "source_id"):
-    """``split_long`` for ``mapInArrow`` over (by, i, prob) rows sorted by source and
-    frame: a source of any length takes the memory of one batch."""
+def stretches(frames: DataFrame, config: GateConfig = GateConfig(), by: str = "source_id") -> DataFrame:
+    """``frames(by, i, prob)`` with ``stretch``, the number of closed gaps before, from a
+    source's first loud frame on. After a closed gap the gate is idle whatever came
+    before, so stretches can be walked apart. Sums over a source go by blocks."""
+    neg, silence = config.threshold - config.neg_gap, samples_of_ms(config.min_silence)
+    quiet = F.col("prob") < neg
+    flagged = frames.select(by, "i", "prob", F.coalesce(F.col("prob") >= config.threshold, F.lit(False)).cast("long").alias("loud"), div(F.col("i"), ROWS).alias("__block"))
+    runs = running_sum(flagged, [by], "__block", ["i"], "loud", "gap").where("gap > 0").select(by, "i", "prob", "gap")
+    gaps = runs.groupBy(by, "gap").agg(F.min(F.when(quiet, F.col("i"))).alias("a"), F.max(F.when(quiet, F.col("i"))).alias("b"))
+    gaps = gaps.select(by, "gap", F.coalesce((F.col("b") - F.col("a")) * config.frame >= silence, F.lit(False)).cast("long").alias("closed"), div(F.col("gap"), ROWS).alias("__block"))
+    before = running_sum(gaps, [by], "__block", ["gap"], "closed", "stretch", here=False)
+    return runs.join(before.select(by, "gap", F.col("stretch").cast("long").alias("stretch")), [by, "gap"]).select(by, "stretch", "i", "prob")
+
+
+def capped_segments(frames: DataFrame, config: GateConfig = GateConfig(), by: str = "source_id") -> DataFrame:
+    """``segments`` where speech may outlast max_speech: a segment is cut at the cap.
+    Stretches between closed gaps are walked frame by frame, each in one task."""
+    kind = frames.schema[by].dataType.simpleString()
+    cut = stretches(frames, config, by).repartition(by, "stretch").sortWithinPartitions(by, "stretch", "i").mapInArrow(_walked(config, by), f"`{by}` {kind}, start_sample long, end_sample long")
+    number = F.row_number().over(W.partitionBy(by).orderBy("start_sample")) - 1
+    return cut.select(by, number.cast("long").alias("segment"), "start_sample", "end_sample")
+
+
+def _walked(config: GateConfig, by: str):
+    """The rules over (by, stretch, i, prob) rows sorted by these: a stretch of any
+    length takes the memory of one batch."""
     neg = config.threshold - config.neg_gap
     silence, speech = samples_of_ms(config.min_silence), samples_of_ms(config.min_speech)
     cap = samples_of_ms(config.max_speech) - config.frame - 2 * samples_of_ms(config.pad)
@@ -90,28 +99,19 @@ def split_stream(config: GateConfig = GateConfig(), by: str = "source_id"):
         last = [0]
 
         def scored(rows):
-            for _, i, p in rows:
+            for _, _, i, p in rows:
                 last[0] = i
                 yield i * config.frame, float("nan") if p is None else p
 
-        frames = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3))))
-        for source, rows in groupby(frames, key=lambda row: row[0]):
-            cuts = walk(scored(rows), config.threshold, neg, silence, speech, cap, lambda: (last[0] + 1) * config.frame)
-            for n, (a, b) in enumerate(cuts):
-                yield source, n, a, b
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [by, "segment", "start_sample", "end_sample"])
+        frames = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for (source, _), rows in groupby(frames, key=lambda row: row[:2]):
+            for a, b in walk(scored(rows), config.threshold, neg, silence, speech, cap, lambda: (last[0] + 1) * config.frame):
+                yield source, a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for row in found(batches):
-            held.append(row)
-            if len(held) == 4096:
-                yield batch(held)
-                held = []
-        if held:
-            yield batch(held)
+        rows = found(batches)
+        while held := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], [by, "start_sample", "end_sample"])
 
     return run
 

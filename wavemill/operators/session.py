@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
+from wavemill.operators import scan
+from wavemill.operators.blocks import running_sum
 
-def _live(max_sources: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, live = object(), 1
-        for b in batches:
-            out = []
-            for k, step in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if k != key:
-                    key, live = k, 1
-                live = max(1, min(max_sources, live + step))
-                out.append(live)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "live"])
+
+def _clamped(max_sources: int):
+    def run(batch: pa.RecordBatch, base: int) -> Iterator[pa.RecordBatch]:
+        begin, n = scan.starts(batch.column(0)), batch.num_rows
+        shift, lo, hi = scan.clamp_prefixes(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), begin, 1, max_sources)
+        first = np.zeros(n, bool)
+        first[begin] = True
+        before = [np.where(first, none, np.roll(x, 1)) for x, none in ((shift, 0), (lo, 1), (hi, max_sources))]
+        last = np.append(first[1:], True)
+        added = [pa.array(np.full(n, base)), pa.array(last), *map(pa.array, (shift, lo, hi, *before))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "piece", "last", "shift", "lo", "hi", "shift0", "lo0", "hi0"])
 
     return run
 
@@ -31,17 +32,19 @@ def slots(commands: DataFrame, by: str, order: list[str], max_sources: int = 2)
 
     Source 0 is open from the start; an open takes the next id unless the limit
     is reached; ids are never used twice, and a refused open takes none. Replies:
-    opened, source_limit, closed, source_not_found, none.
+    opened, source_limit, closed, source_not_found, none. Rows of equal ``order``
+    go by k.
 
-    The number of live sources is a walk held between 1 and the limit. It is made
-    over sorted rows as they stream by, so a session of any length takes the
-    memory of one batch; a session is one task.
+    The number of live sources is a walk held between 1 and the limit. Its steps
+    compose to clamps, so a session of any length spreads over tasks.
     """
     rows = commands.select(by, *order, F.col("k").cast("long").alias("k"))
-    flat = rows.repartition(by).sortWithinPartitions(by, *order, "k").mapInArrow(_live(max_sources), rows.schema.add("live", LongType()))
-    w = W.partitionBy(by).orderBy(*order)
-    was = F.coalesce(F.lag("live").over(w), F.lit(1))
-    flat = flat.withColumn("opened", (F.col("live") > was).cast("long")).withColumn("closed", F.col("live") < was)
-    reply = F.when(F.col("opened") == 1, "opened").when(F.col("k") == 1, "source_limit").when(F.col("closed"), "closed").when(F.col("k") == -1, "source_not_found").otherwise("none")
-    source = F.when(F.col("opened") == 1, F.sum("opened").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return flat.select(by, order[-1], "live", source.alias("source_id"), reply.alias("reply"))
+    parts = scan.pieces(rows, by, [*order, "k"], _clamped(max_sources), "piece long, last boolean, shift long, lo long, hi long, shift0 long, lo0 long, hi0 long")
+    held = lambda s, row: max(row[1], min(row[2], s + row[0]))
+    entries = scan.entered(parts.where("last").select(by, "piece", "shift", "lo", "hi"), by, 1, lambda s, row: (s, held(s, row)))
+    flat = parts.join(entries, [by, "piece"])
+    live, was = (F.least(hi, F.greatest(lo, F.col("entry") + F.col(shift))) for shift, lo, hi in (("shift", "lo", "hi"), ("shift0", "lo0", "hi0")))
+    flat = flat.select(by, *order, "k", "piece", live.alias("live"), was.alias("was")).withColumn("opened", (F.col("live") > F.col("was")).cast("long"))
+    flat = running_sum(flat, [by], "piece", [*order, "k"], "opened", "ids")
+    reply = F.when(F.col("opened") == 1, "opened").when(F.col("k") == 1, "source_limit").when(F.col("live") < F.col("was"), "closed").when(F.col("k") == -1, "source_not_found").otherwise("none")
+    return flat.select(by, order[-1], "live", F.when(F.col("opened") == 1, F.col("ids")).alias("source_id"), reply.alias("reply"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from wavemill.config import DEVICES, ConfigError, GateConfig, PipelineConfig, pa
 from wavemill.functions import clock, pcm, tokens
 from wavemill.operators import decode, events, features, gate, session, timeline
 from wavemill.plans.inputs import chunks, frames, marks, table
+from wavemill.store import shared_dir
 from wavemill.streaming import session as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ segs AS (SELECT source_id, nth, min(opens) * 512 start_sample, coalesce(max(CASE
 gated AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY start_sample) - 1 segment, CAST(start_sample AS BIGINT) start_sample, CAST(end_sample AS BIGINT) end_sample FROM segs WHERE end_sample - start_sample > 4000)"""
 
 
+def gated(scores: str, frame: int, silence: int, speech: int) -> str:
+    """The CTEs of GATE over other frames: ``scores`` must define ``frames``."""
+    return scores + GATE.removeprefix(FRAMES).replace("512", str(frame)).replace("1600", str(silence)).replace("4000", str(speech))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -194,8 +199,7 @@ found AS (SELECT source_id, a, b FROM r WHERE a IS NOT NULL UNION ALL SELECT sou
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY a) - 1 AS segment, a start_sample, b end_sample FROM found""")
 def vad_max_split(spark, d):
     config = GateConfig(max_speech=600_000_000)
-    f = frames(spark, d).select("source_id", "i", "prob").repartition("source_id").sortWithinPartitions("source_id", "i")
-    return f.mapInArrow(gate.split_stream(config), "source_id long, segment long, start_sample long, end_sample long")
+    return gate.capped_segments(frames(spark, d), config)
 
 
 @query(f"""WITH {GATE} SELECT f.source_id, f.i, greatest((f.i + 1) * 512 - 480, 0) keep_from FROM frames f WHERE NOT EXISTS (SELECT 1 FROM gated g WHERE g.source_id = f.source_id AND f.i * 512 >= g.start_sample AND f.i * 512 < g.end_sample)""")
@@ -239,7 +243,7 @@ SELECT w.source_id, w.t AS frame, s.token, CAST(CASE WHEN s.token = 6 THEN 0 WHE
 def tdt_walk(spark, d):
     c = chunks(spark, d).select("source_id", "seq", "vec_id")
     steps = c.select("source_id", F.col("seq").alias("frame"), (F.col("vec_id") % 7).alias("token"), (clock.div(F.col("vec_id"), 7) % 3).alias("dur"))
-    return steps.repartition("source_id").sortWithinPartitions("source_id", "frame").mapInArrow(tokens.stream_walk(6), "source_id long, frame long, token long, n long")
+    return decode.transducer_steps(steps, blank=6, longest=2)
 
 
 _DETOK = """SELECT doc_id, regexp_replace(replace(array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) = 2 THEN '<' || w || '>' WHEN w LIKE 'th%' THEN '▁' || w ELSE w END), lambda t: NOT (t LIKE '<%' AND t LIKE '%>') OR t = '<unk>'), ''), '▁', '{r}'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS detok FROM documents"""
@@ -426,14 +430,6 @@ def mean_score(frame) -> float:
     return min(1.0, max(0.0, 0.5 + 10 * float(frame.mean())))
 
 
-def shared_dir(spark) -> str:
-    """``spark.checkpoint.dir``, or a folder of this session where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -442,4 +438,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from wavemill.plans import speech  # noqa: E402,F401  registers its queries
+from wavemill.plans import audio, speech  # noqa: E402,F401  register their queries
