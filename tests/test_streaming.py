@@ -51,7 +51,7 @@ def test_limits_unknown_sources_cancel():
 
 def test_silence_is_bounded():
     _, state = run([(i, "audio", 0, None, np.zeros(1600)) for i in range(100)], GateConfig())
-    assert len(state.sources[0].pcm) <= 480 + 511
+    assert len(state.sources[0].buffer) <= 480 + 511
 
 
 def test_cap_splits_long_speech():

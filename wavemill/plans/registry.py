@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,6 @@ from wavemill.config import DEVICES, ConfigError, GateConfig, PipelineConfig, pa
 from wavemill.functions import clock, pcm, tokens
 from wavemill.operators import decode, events, features, gate, session, timeline
 from wavemill.plans.inputs import chunks, frames, marks, table
-from wavemill.store import shared_dir
-from wavemill.streaming import session as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,11 +339,6 @@ def first_failure(spark, d):
     return events.first_failure(table(spark, d, "events").where("event_type = 'error'"), "user_id", "props", "event_id")
 
 
-@query("SELECT conv_id, max(turn) + 1 cmd_seq, '{\"type\":\"end_of_stream\"}' AS event FROM conversations GROUP BY 1")
-def end_of_stream(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("cmd_seq")).withColumn("event", F.lit(events.END_OF_STREAM))
-
-
 _OPEN = "event_type IN ('signup', 'click')"
 
 
@@ -410,26 +402,6 @@ def asr_fake_e2e(spark, d):
     return out.select("source_id", "id", "text", clock.samples_to_ns(F.col("start_sample")).alias("start_ns"), clock.samples_to_ns(F.col("start_sample") + F.col("n_samples")).alias("end_ns"))
 
 
-@query()
-def stream_parity(spark, d):
-    """Embeddings as a stream of audio commands through the stateful gate; tests
-    hold it against the same steps over the table."""
-    commands = streaming.embedding_commands(spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]"))  # a glob takes a file or a folder
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    said = streaming.transcribe_stream(commands, STREAM_GATE, mean_score)
-    q = said.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(said.schema).parquet(out)
-
-
-STREAM_GATE = GateConfig(min_speech=4_000_000, min_silence=8_000_000, pad=2_000_000, frame=64)
-
-
-def mean_score(frame) -> float:
-    return min(1.0, max(0.0, 0.5 + 10 * float(frame.mean())))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -438,4 +410,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from wavemill.plans import audio, speech  # noqa: E402,F401  register their queries
+from wavemill.plans import audio, speech, stream  # noqa: E402,F401  register their queries

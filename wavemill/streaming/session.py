@@ -1,9 +1,11 @@
 """Sessions as a stream: ordered commands in, segments, replies and errors out.
 
 Commands of a session are handled in ``cmd_seq`` order: open, audio, close and
-cancel. Per source the state holds its clock, its open segment and the samples
-that a segment may still need; in silence that is the pad and a partial frame.
-The same steps serve Structured Streaming and batch tables.
+cancel. Per source the state holds its clock, its open segment and, in chunks,
+the samples that a segment may still need; in silence that is the pad and a
+partial frame. A session whose senders are silent for long is flushed by a timer:
+its sources in opening order, then the end of the stream. The same steps serve
+Structured Streaming and batch tables.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,7 +23,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from wavemill.config import GateConfig, samples_of_ms
 from wavemill.functions.clock import SAMPLE_NS
 from wavemill.operators.decode import AsrModel, FakeModel
+from wavemill.streaming.buffer import Buffer, RangeError
 
+#: The last nanosecond and sample of a session's time.
+LAST_NS = (1 << 63) - 1
 OUTPUT = "session_id string, cmd_seq long, kind string, id long, source_id long, text string, start_ns long, end_ns long, code string"
 Scorer = Callable[[np.ndarray], float]
 
@@ -32,14 +38,16 @@ def energy_score(frame: np.ndarray) -> float:
 
 @dataclass
 class Source:
+    """``tail`` are the samples from ``scored`` on, less than a frame."""
+
     clock: int = 0
     offset: int | None = None
     start: int | None = None
     pending: int | None = None
     last_end: int = 0
-    base: int = 0
     scored: int = 0
-    pcm: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    tail: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    buffer: Buffer = field(default_factory=Buffer)
 
 
 @dataclass
@@ -48,6 +56,7 @@ class Session:
     next_source: int = 1
     next_id: int = 0
     over: bool = False
+    deadline: int = -1
 
 
 class Gate:
@@ -59,32 +68,32 @@ class Gate:
         self.cap = samples_of_ms(config.max_speech) - config.frame - 2 * self.pad
 
     def _take(self, s: Source, start: int, end: int) -> tuple[int, int, np.ndarray] | None:
-        lo, hi = max(start - self.pad, s.last_end, s.base), min(end + self.pad, s.base + len(s.pcm))
+        lo, hi = max(start - self.pad, s.last_end, s.buffer.base), min(end + self.pad, s.buffer.end)
         if hi <= lo:
             return None
         s.last_end = hi
-        return lo, hi, s.pcm[lo - s.base : hi - s.base]
+        return lo, hi, s.buffer.take(lo, hi)
 
     def push(self, s: Source, samples: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        s.pcm = np.concatenate((s.pcm, samples))
-        while s.scored + self.c.frame <= s.base + len(s.pcm):
-            at = s.scored
-            yield from self._frame(s, at, s.pcm[at - s.base : at - s.base + self.c.frame])
-            s.scored += self.c.frame
-        keep = max(min(s.scored, s.base + len(s.pcm)) - self.pad, s.base) if s.start is None else max(s.start - self.pad, s.base)
-        s.pcm, s.base = s.pcm[keep - s.base :], keep
+        s.buffer.append(s.buffer.end, samples)
+        x, at = np.concatenate((s.tail, samples)), s.scored
+        whole = len(x) // self.c.frame * self.c.frame
+        for i in range(0, whole, self.c.frame):
+            yield from self._frame(s, at + i, x[i : i + self.c.frame])
+        s.scored, s.tail = at + whole, x[whole:]
+        s.buffer.trim((s.scored if s.start is None else s.start) - self.pad)
 
     def finish(self, s: Source) -> Iterator[tuple[int, int, np.ndarray]]:
-        total = s.base + len(s.pcm)
-        if s.scored < total:  # the last frame is filled up with zeros
-            part = s.pcm[s.scored - s.base :]
-            yield from self._frame(s, s.scored, np.pad(part, (0, self.c.frame - len(part))))
+        total = s.buffer.end
+        if len(s.tail):  # the last frame is filled up with zeros
+            yield from self._frame(s, s.scored, np.pad(s.tail, (0, self.c.frame - len(s.tail))))
         if s.start is not None and total - s.start > self.speech:
             got = self._take(s, s.start, total)
             if got:
                 yield got
         s.start = s.pending = None
-        s.pcm, s.base = s.pcm[:0], total
+        s.scored, s.tail = total, s.tail[:0]
+        s.buffer.trim(total)
 
     def _frame(self, s: Source, at: int, frame: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         p, end = self.scorer(frame), None
@@ -102,6 +111,12 @@ class Gate:
             s.start, s.pending = at if s.start is None else s.start, None
 
 
+class TimeError(ValueError):
+    """A time past the session's last nanosecond."""
+
+    code = "invalid_timestamp"
+
+
 class Handler:
     """One command at a time; yields output rows without the session's key."""
 
@@ -118,12 +133,37 @@ class Handler:
             if not text.strip():
                 continue
             off = s.offset or 0
-            yield self._row(seq, "segment", session.next_id, number, text, (off + lo) * SAMPLE_NS, (off + hi) * SAMPLE_NS)
             session.next_id += 1
+            if (off + hi) * SAMPLE_NS > LAST_NS:
+                raise TimeError
+            yield self._row(seq, "segment", session.next_id - 1, number, text, (off + lo) * SAMPLE_NS, (off + hi) * SAMPLE_NS)
 
     def handle(self, session: Session, seq: int, cmd: str, number: int | None, ts_ns: int | None, samples) -> Iterator[tuple]:
+        """A command's rows. After an error nothing more of the session is handled."""
+        if session.over:
+            return
+        try:
+            yield from self._command(session, seq, cmd, number, ts_ns, samples)
+        except (RangeError, TimeError) as e:
+            session.over = True
+            yield self._row(seq, "error", source=number, code=e.code)
+
+    def vanish(self, session: Session) -> Iterator[tuple]:
+        """The senders are gone: open sources are flushed in opening order, then the
+        stream ends, once. These rows follow from no command and have no cmd_seq."""
         if session.over:
             return
+        session.over = True
+        for number in sorted(session.sources):
+            s = session.sources.pop(number)
+            try:
+                yield from self._say(session, None, number, s, self.gate.finish(s))
+            except (RangeError, TimeError) as e:
+                yield self._row(None, "error", source=number, code=e.code)
+                return
+        yield self._row(None, "end_of_stream")
+
+    def _command(self, session: Session, seq: int, cmd: str, number: int | None, ts_ns: int | None, samples) -> Iterator[tuple]:
         if cmd == "cancel":
             session.over = True
         elif cmd == "open":
@@ -142,6 +182,8 @@ class Handler:
             at = None if ts_ns is None else ts_ns // SAMPLE_NS
             if s.offset is None:
                 s.offset = at or 0
+            elif at is not None and (s.offset + s.clock) * SAMPLE_NS > LAST_NS:
+                raise TimeError
             elif at is not None and at != s.offset + s.clock:
                 session.over = True
                 yield self._row(seq, "error", source=number, start=(s.offset + s.clock) * SAMPLE_NS, end=ts_ns, code="timestamp_discontinuity")
@@ -179,58 +221,127 @@ def _commands(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield int(r.cmd_seq), r.cmd, number, ts, r.samples
 
 
+class _Samples:
+    """A source's chunks in the map state."""
+
+    def __init__(self, state, number: int):
+        self.state, self.number = state, number
+
+    def get(self, start: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.state.getValue((self.number, start))[0]), np.float32)
+
+    def put(self, start: int, samples: np.ndarray) -> None:
+        self.state.updateValue((self.number, start), (samples.tobytes(),))
+
+    def remove(self, start: int) -> None:
+        self.state.removeKey((self.number, start))
+
+
 class SessionProcessor(StatefulProcessor):
-    """Keyed by session: one value for the session, one map entry per live source."""
+    """Keyed by session: one value for the session, one map entry per live source, and
+    one per chunk of samples that a source still needs. With ``idle_ms`` a timer
+    flushes a session that long after its last trigger with commands."""
 
-    def __init__(self, config: GateConfig, scorer: Scorer, model: Callable[[], AsrModel], max_sources: int):
+    def __init__(self, config: GateConfig, scorer: Scorer, model: Callable[[], AsrModel], max_sources: int, idle_ms: int | None = None, event_time: bool = False):
         self.settings = config, scorer, model, max_sources
+        self.idle_ms, self.event_time = idle_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         config, scorer, model, most = self.settings
-        self.handler = Handler(Gate(config, scorer), model(), most)
-        self.session = handle.getValueState("session", "next_source long, next_id long, over boolean")
-        self.sources = handle.getMapState("sources", "number long", "clock long, anchored long, start long, pending long, last_end long, base long, scored long, pcm binary")
+        self.handle_, self.handler = handle, Handler(Gate(config, scorer), model(), most)
+        self.session = handle.getValueState("session", "next_source long, next_id long, over boolean, deadline long")
+        self.sources = handle.getMapState("sources", "number long", "clock long, anchored long, start long, pending long, last_end long, scored long, tail binary, base long, end long, first long")
+        self.samples = handle.getMapState("samples", "number long, start long", "pcm binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _load(self) -> Session:
         state = new_session()
         if self.session.exists():
-            state.next_source, state.next_id, state.over = self.session.get()
+            state.next_source, state.next_id, state.over, state.deadline = self.session.get()
             state.sources = {}
-            for (number,), v in self.sources.iterator():
-                clock, anchored, start, pending, last_end, base, scored, pcm = v
-                state.sources[number] = Source(clock, *(None if x < 0 else x for x in (anchored, start, pending)), last_end, base, scored, np.frombuffer(bytes(pcm), np.float32))
-        before = set(state.sources) if self.session.exists() else set()
-        out = []
-        for command in _commands(pd.concat(list(rows))):
-            out.extend(self.handler.handle(state, *command))
-        for number in before - set(state.sources):
-            self.sources.removeKey((number,))
+            for (number,), v in sorted(self.sources.iterator(), key=lambda kv: kv[0][0]):
+                clock, anchored, start, pending, last_end, scored, tail, base, end, first = v
+                state.sources[number] = Source(clock, *(None if x < 0 else x for x in (anchored, start, pending)), last_end, scored, np.frombuffer(bytes(tail), np.float32), Buffer(base, end, first))
         for number, s in state.sources.items():
-            self.sources.updateValue((number,), (s.clock, *(-1 if x is None else int(x) for x in (s.offset, s.start, s.pending)), int(s.last_end), int(s.base), int(s.scored), s.pcm.astype(np.float32).tobytes()))
-        self.session.update((state.next_source, state.next_id, state.over))
+            s.buffer.store = _Samples(self.samples, number)
+        return state
+
+    def _save(self, state: Session, before: dict[int, Source]) -> None:
+        for number, s in before.items():
+            if number not in state.sources:
+                s.buffer.trim(s.buffer.end)
+                s.buffer.commit()
+                if self.sources.containsKey((number,)):
+                    self.sources.removeKey((number,))
+        for number, s in state.sources.items():
+            s.buffer.store = _Samples(self.samples, number)
+            s.buffer.commit()
+            b = s.buffer
+            self.sources.updateValue((number,), (s.clock, *(-1 if x is None else int(x) for x in (s.offset, s.start, s.pending)), int(s.last_end), int(s.scored), s.tail.astype(np.float32).tobytes(), int(b.base), int(b.end), int(b.first)))
+        self.session.update((state.next_source, state.next_id, state.over, state.deadline))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, out = self._load(), []
+        before, pdf = dict(state.sources), pd.concat(list(rows))
+        for command in _commands(pdf):
+            out.extend(self.handler.handle(state, *command))
+        if self.idle_ms is not None:
+            now = int(pdf["at_ms"].max()) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+            if state.deadline >= 0:
+                self.handle_.deleteTimer(state.deadline)
+            state.deadline = -1 if state.over else max(now + self.idle_ms, state.deadline)
+            if not state.over:
+                self.handle_.registerTimer(state.deadline)
+        self._save(state, before)
+        yield _frame_of(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._load()
+        before, out = dict(state.sources), list(self.handler.vanish(state))
+        state.deadline = -1
+        self._save(state, before)
         yield _frame_of(key[0], out)
 
     def close(self) -> None:
         pass
 
 
-def transcribe_stream(commands: DataFrame, config: GateConfig = GateConfig(), scorer: Scorer = energy_score, model: Callable[[], AsrModel] = FakeModel, max_sources: int = 2) -> DataFrame:
-    """A streaming ``commands`` table to its events; needs the RocksDB state store."""
-    return commands.groupBy("session_id").transformWithStateInPandas(SessionProcessor(config, scorer, model, max_sources), OUTPUT, "Append", "None")
-
-
-def transcribe_table(commands: DataFrame, config: GateConfig = GateConfig(), scorer: Scorer = energy_score, model: Callable[[], AsrModel] = FakeModel, max_sources: int = 2) -> DataFrame:
-    """The same over a static table, a session at a time."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        handler, state, out = Handler(Gate(config, scorer), model(), max_sources), new_session(), []
-        for command in _commands(pdf):
-            out.extend(handler.handle(state, *command))
-        return _frame_of(key[0], out)
-
-    return commands.groupBy("session_id").applyInPandas(run, OUTPUT)
-
-
-def embedding_commands(embeddings: DataFrame) -> DataFrame:
-    """Embeddings as audio of the session named by their label."""
-    return embeddings.select(F.col("label").cast("string").alias("session_id"), F.col("vec_id").alias("cmd_seq"), F.lit("audio").alias("cmd"), F.lit(0).cast("long").alias("source_id"), F.lit(None).cast("long").alias("ts_ns"), F.col("embedding").alias("samples"))
+def transcribe_stream(commands: DataFrame, config: GateConfig = GateConfig(), scorer: Scorer = energy_score, model: Callable[[], AsrModel] = FakeModel, max_sources: int = 2, idle_ms: int | None = None, event_time: bool = False) -> DataFrame:
+    """A streaming ``commands`` table to its events; needs the RocksDB state store.
+
+    With ``idle_ms`` a session without commands for so long is flushed and ended:
+    by the clock, or with ``event_time`` by the watermark on the commands' ``at``,
+    which must have one. Commands of an ended session are ignored.
+    """
+    if event_time:
+        commands = commands.withColumn("at_ms", F.unix_millis("at"))
+    mode = "None" if idle_ms is None else "EventTime" if event_time else "ProcessingTime"
+    return commands.groupBy("session_id").transformWithStateInPandas(SessionProcessor(config, scorer, model, max_sources, idle_ms, event_time), OUTPUT, "Append", mode)
+
+
+def transcribe_table(commands: DataFrame, config: GateConfig = GateConfig(), scorer: Scorer = energy_score, model: Callable[[], AsrModel] = FakeModel, max_sources: int = 2, vanish: bool = False) -> DataFrame:
+    """The same over a static table, as its sorted rows stream by; with ``vanish`` the
+    senders are gone after a session's last command."""
+    columns = ["session_id", "cmd_seq", "cmd", "source_id", "ts_ns", "samples"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        handler, now, state = Handler(Gate(config, scorer), model(), max_sources), None, None
+        for batch in batches:
+            out = []
+            audio = batch.column(5)
+            for i, (key, *command) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if state is None or key != now:
+                    out += [(now, *r) for r in handler.vanish(state)] if vanish and state else []
+                    now, state = key, new_session()
+                samples = audio[i].values.to_numpy(zero_copy_only=False) if audio[i].is_valid else None
+                out += [(key, *r) for r in handler.handle(state, *command, samples)]
+            yield _batch_of(out)
+        if vanish and state:
+            yield _batch_of([(now, *r) for r in handler.vanish(state)])
+
+    return commands.select(columns).repartition("session_id").sortWithinPartitions("session_id", "cmd_seq").mapInArrow(run, OUTPUT)
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _COLUMNS)
