@@ -95,6 +95,14 @@ def test_metrics(spark):
     assert [r.i for r in events.backlog_warnings(m, "s", "i").collect()] == [31]
 
 
+def test_counters_stop_at_the_top(spark):
+    most = (1 << 63) - 1
+    moves = [(1, 0, most - 1, 0, 0, 0), (1, 1, 5, 0, 0, most), (1, 2, 0, most, 0, 1), (1, 3, 0, 1, most, 0), (1, 4, 1, 0, 1, 0)]
+    m = events.delivery_metrics(spark.createDataFrame(moves, "s long, i long, emitted long, received long, discarded long, failures long"), "s", "i").orderBy("i").collect()
+    assert [r.n_emitted for r in m] == [most - 1] + [most] * 4 and [r.n_failures for r in m] == [0] + [most] * 4
+    assert (m[1].pending, m[1].peak_pending, m[2].pending, m[4].n_received, m[4].n_discarded) == (most, most, 4, most, most)
+
+
 @pytest.mark.parametrize("bits,value", [(8, 64 + 128), (16, 16384), (24, 4194304), (32, 1073741824)])
 def test_wav(spark, tmp_path, bits, value):
     body = value.to_bytes(bits // 8, "little") * 3400

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from wavemill.functions import clock
 from wavemill.functions.tokens import trim_unicode
 
-#: Labels of the first sources, and the first backlog warning.
-LABELS = {0: "microphone", 1: "system"}
+#: Fixed value: the first backlog warning.
 WARN_AT = 32
 
 
@@ -49,13 +48,13 @@ def realtime_factor(inference_ns: Column, start_ns: Column, end_ns: Column) -> C
     return F.when(audio > 0, inference_ns.cast("double") / audio.cast("double")).otherwise(F.lit(0.0))
 
 
-#: Fixed value: counters stop at the largest unsigned 64-bit number.
-COUNTER_MOST = "18446744073709551615"
+#: Counters stop at the largest signed 64-bit number.
+COUNTER_MOST = (1 << 63) - 1
 
 
 def saturating_sum(column: Column, over) -> Column:
     """A running count that stops at the top of its range."""
-    return F.least(F.sum(column.cast("decimal(20,0)")).over(over), F.lit(COUNTER_MOST).cast("decimal(38,0)"))
+    return F.least(F.sum(column.cast("decimal(20,0)")).over(over), F.lit(str(COUNTER_MOST)).cast("decimal(38,0)")).cast("long")
 
 
 def delivery_metrics(moves: DataFrame, by: str, *order: str) -> DataFrame:
@@ -64,16 +63,17 @@ def delivery_metrics(moves: DataFrame, by: str, *order: str) -> DataFrame:
 
     Receipts and discards take at most what is pending, so pending is the walk's
     height over its lowest point so far; what is received or discarded counts in
-    full. A discard closes the receiver.
+    full. A discard closes the receiver. Counters stop at ``COUNTER_MOST``.
     """
     given = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in moves.columns else F.lit(0).cast("long") for c in ("emitted", "received", "discarded", "failures")}
     closes = (F.coalesce(F.col("closed"), F.lit(False)) if "closed" in moves.columns else F.lit(False)) | (given["discarded"] > 0)
     w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    walked = moves.withColumn("_walk", F.sum(given["emitted"] - given["received"] - given["discarded"]).over(w))
+    wide = {c: x.cast("decimal(20,0)") for c, x in given.items()}
+    walked = moves.withColumn("_walk", F.sum(wide["emitted"] - wide["received"] - wide["discarded"]).over(w))
     floor = F.least(F.min("_walk").over(w), F.lit(0))
-    out = walked.withColumn("pending", (F.col("_walk") - floor).cast("long"))
+    out = walked.withColumn("pending", F.least(F.col("_walk") - floor, F.lit(str(COUNTER_MOST)).cast("decimal(38,0)")).cast("long"))
     counts = {"n_emitted": "emitted", "n_received": "received", "n_discarded": "discarded", "n_failures": "failures"}
-    out = out.withColumns({name: F.sum(given[c]).over(w) for name, c in counts.items()})
+    out = out.withColumns({name: saturating_sum(given[c], w) for name, c in counts.items()})
     return out.withColumns({"receiver_closed": F.max(closes).over(w), "peak_pending": F.max("pending").over(w)}).drop("_walk")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.functions import clock
+from wavemill.operators.blocks import halo_blocks
 
 
 def place_chunks(chunks: DataFrame, by: str = "source_id", order: str = "seq", length: str = "n_samples") -> DataFrame:
@@ -31,8 +32,7 @@ def check_continuity(placed: DataFrame, ts: str = "ts_ns") -> DataFrame:
 
 def rechunk(placed: DataFrame, size: int, by: str = "source_id") -> DataFrame:
     """Samples of placed chunks dealt anew to chunks of ``size``; the last may be
-    shorter. Columns: by, chunk, n, samples."""
-    flat = placed.select(by, "start_sample", F.posexplode("samples").alias("pos", "x"))
-    at = F.col("start_sample") + F.col("pos")
-    grouped = flat.groupBy(by, clock.div(at, size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "x"))).alias("s"))
-    return grouped.select(by, "chunk", F.size("s").cast("long").alias("n"), F.transform("s", lambda v: v["x"]).alias("samples"))
+    shorter. Columns: by, chunk, n, samples. Chunks are sliced where they overlap a
+    new one, so a row travels once for each of those."""
+    cut = halo_blocks(placed, [by], size, 0, 0)
+    return cut.select(by, F.col("block").alias("chunk"), F.size("samples").cast("long").alias("n"), "samples")

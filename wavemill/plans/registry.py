@@ -410,4 +410,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from wavemill.plans import audio, speech, stream  # noqa: E402,F401  register their queries
+from wavemill.plans import audio, models, speech, stream  # noqa: E402,F401  register their queries

@@ -39,14 +39,14 @@ def vocab_validate(spark, d):
 _NAMES = ", ".join(f"'{n}'" for n in (*decode.ENCODERS, *decode.DECODERS, "vocab.txt"))
 
 
-@query(f"""WITH f AS (SELECT CAST(c_nationkey AS BIGINT) dir, list_extract([{_NAMES}], CAST(c_custkey * 5 % 8 + 1 AS BIGINT)) nm FROM customer WHERE c_custkey % 3 = c_nationkey % 3 AND c_custkey < 100),
+@query(f"""WITH f AS (SELECT CAST(c_custkey // 3 AS BIGINT) dir, list_extract([{_NAMES}], CAST((c_custkey * 5 + c_nationkey) % 8 + 1 AS BIGINT)) nm FROM customer),
 g AS (SELECT dir, list(nm) have FROM f GROUP BY 1),
 p AS (SELECT dir, {', '.join(f"CASE {' '.join(f'''WHEN list_contains(have, '{n}') THEN '{n}' ''' for n in names)} END {k}" for k, names in (('encoder', decode.ENCODERS), ('decoder_joint', decode.DECODERS)))} FROM g)
 SELECT dir, encoder, decoder_joint, CASE WHEN encoder IS NULL THEN 'No encoder model found in ' || dir WHEN decoder_joint IS NULL THEN 'No decoder_joint model found in ' || dir END AS error FROM p""")
 def model_files(spark, d):
     names = F.array(*map(F.lit, (*decode.ENCODERS, *decode.DECODERS, "vocab.txt")))
-    c = table(spark, d, "customer").where("c_custkey % 3 = c_nationkey % 3 and c_custkey < 100")
-    return decode.find_model_files(c.select(F.col("c_nationkey").cast("long").alias("dir"), F.get(names, (F.col("c_custkey") * 5 % 8).cast("int")).alias("name")))
+    c = table(spark, d, "customer")  # three files a folder
+    return decode.find_model_files(c.select(F.expr("c_custkey div 3").alias("dir"), F.get(names, ((F.col("c_custkey") * 5 + F.col("c_nationkey")) % 8).cast("int")).alias("name")))
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(l_partkey * 1000 - greatest(l_suppkey * 700 - CAST(l_quantity AS BIGINT) * 500, 0), 0) capture_ns FROM lineitem")
