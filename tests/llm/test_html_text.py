@@ -77,3 +77,75 @@ def test_hostile_pages_take_linear_time():
 def test_tag_ends():
     ends = html_text._Tags('<a x=">" y>z<b "q>r').end
     assert ends(2) == 11 and ends(14) == 18 and html_text._Tags("<a b").end(2) == -1
+
+
+def shown(spark, rows):
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return {r.page_id: r.text for r in got.collect()}
+
+
+def test_prose_in_articles_stays(spark):
+    """Short paragraphs that a few articles of a host share, side by side or not, and one that all hosts share."""
+    rows = []
+    for i in range(300):
+        short = "<p>Yes.</p><p>She said nothing.</p>" if i % 60 == 0 else ""
+        rows.append((i, f"http://a.example/{i}", f"<article><h1>T {i}</h1><p>Story {i}</p>{short}<p>More {i}</p>{'<p>No.</p>' if i % 11 == 0 else ''}<p>End {i}</p></article>"))
+    for i in range(300, 500):
+        rows.append((i, f"http://h{i % 8}.example/{i}", f"<article><p>Story {i}</p>{'<p>A saying.</p>' if i % 3 == 0 else ''}</article>"))
+    got = shown(spark, rows)
+    assert all("Yes.\nShe said nothing." in got[i] for i in range(0, 300, 60))
+    assert all("No." in got[i] for i in range(0, 300, 11))
+    assert all("A saying." in got[i] for i in range(300, 500) if i % 3 == 0)
+
+
+def test_names_match_whole():
+    page = '<article><header><h1>Title</h1><p>By me</p></header><div class="social-history"><p>a</p></div><div class="side-effects">b</div><section id="search-theory">c</section><div class="comments-on-plato">d</div><div class="{}">x</div></article>'
+    for gone in ("social-share", "side", "ad-300x250", "cookie-notice top", "commentList", "related_posts", "SidebarLeft", "search-form"):
+        assert one(page.format(gone)) == "Title\nBy me\na\nb\nc\nd", gone
+    assert one(page.format("lead adagio")).endswith("d\nx")
+    assert one("<body><header><h1>Site</h1></header><article><header>Just a bar</header><header class='nav'><h2>m</h2></header><p>t</p></article></body>") == "t"
+
+
+def test_templates_equal_brute_force(spark):
+    """The counts in Spark against loops over pages: different surroundings, hosts, places."""
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(4)
+    pool = [f"<p>s{k}</p>" for k in range(14)]
+    rows = []
+    for i in range(260):
+        host = f"h{rnd.choice([0, 0, 0, 1, 2])}.example"
+        parts = [f"<p>own {i % 200}</p>", *rnd.sample(pool[:8], 2)]
+        if host == "h0.example":
+            parts += ["<p>letter box</p>"] if rnd.random() < 0.5 else []
+            parts.insert(0, "<div>lead in</div>") if rnd.random() < 0.3 else None
+        body = "".join(parts)
+        rows.append((i, f"http://{host}/{i}", f"<article>{body}</article><div>legal</div>" if i % 3 else f"<div>{body}</div><div>legal</div>"))
+    least, share, apart, same = 5, 0.05, 8.0, 0.8
+    texts, places, bodies = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for _, url, page in rows:
+        host = url.split("/")[2]
+        bodies[host].add(page)
+        root = html_text.parse(page)
+        html_text.hash_subtrees(root)
+        for c in html_text.candidates(root):
+            texts[host, c.digest, c.inside].add(c.other)
+            for side in ("before", "after"):
+                places[host, c.digest, c.inside][side, getattr(c, side)].add(c.other)
+    total = sum(map(len, bodies.values()))
+    want = set()
+    for (host, digest, inside), other in texts.items():
+        if len(other) < least:
+            continue
+        here = len(other) / len(bodies[host])
+        elsewhere = sum(len(o) for (h, d, w), o in texts.items() if w and d == digest and h != host) / (total - len(bodies[host]) + 100)
+        if not inside or (here >= share and here >= apart * elsewhere and max(map(len, places[host, digest, True].values())) >= same * len(other)):
+            want.add((host, digest, inside))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    from pyspark.sql import functions as F
+
+    seen = pages.select(F.xxhash64(html_text.host_of()).alias("site"), F.xxhash64("html").alias("body"), "html").mapInArrow(html_text._hashes, "site long, body long, digest long, other long, before long, after long, inside boolean")
+    names = {r[0]: r[1] for r in spark.createDataFrame([(h,) for h in bodies], "h string").select(F.xxhash64("h"), "h").collect()}
+    got = {(names[r.site], r.digest, r.inside) for r in html_text.templates_of(seen, least, share, apart, same).collect()}
+    assert got == want and sum(w for *_, w in want) >= 2

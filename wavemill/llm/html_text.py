@@ -5,9 +5,11 @@ per host, the different texts that each hash is surrounded by, so that copies of
 page count once, and subtrees that recur in many surroundings are deleted. Elements whose name, class, id or role
 says what they are (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts) go whatever their count. Where a page marks its main part or
-articles, all of those are kept and nothing else, and what recurs inside it goes as well, but for headings, cells and
-items, which many articles share and which go only with what holds them. A
-recurring phrase stays where other words of its paragraph stay.
+articles, all of those are kept and nothing else. There prose recurs too, so a
+subtree goes only if it is far more frequent on its host than elsewhere and
+keeps its place; headings, cells and items, which many articles share, go only
+with what holds them. A recurring phrase stays where other words of its paragraph
+stay.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -34,15 +37,18 @@ DROPPED = frozenset("script style noscript template nav header footer aside form
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 SCOPE = frozenset("html body div article section main aside nav header footer form table ul ol dl blockquote td th".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related|recommend\w*|trending|popular|share\w*|sharing|social\w*|comments?|commentlist|disqus|replies|respond|reviews?|footer\w*|foot|masthead|topbar|toolbar|pagination|pager|tags?|byline-links|skip\w*|hidden|search\w*)(?:$|[\s_-])", re.I
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations trending popular share shares sharing social comment comments commentlist disqus replies respond footer foot masthead topbar toolbar pagination pager tags skip skiplink hidden search searchbox".split()
 )
+#: What stands beside such a word in a compound name.
+BESIDE = frozenset("list lists box boxes bar bars wrap wrapper container area section block inner outer top bottom left right site page global main primary secondary header head item items link links button buttons btn form posts stories articles slot unit row col column group panel icons media us me this to the in first last sticky fixed small large mobile desktop content thread reply count form".split())
 #: Parts of prose that are no template by themselves in an article.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption figcaption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form alertdialog".split())
 #: Names that some start tag ends.
 _ENDED = frozenset().union(*CLOSES.values())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)|<", re.S)
+_WORD = re.compile("[0-9][0-9x]*|[A-Z]?[^A-Z0-9_-]+|[A-Z]+")
 _EDGE = re.compile("[>\"']")
 _ATTR = re.compile(r"(?<![\w:.-])([A-Za-z_:][\w:.-]*+)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)|(?<![\w-])(hidden)(?![\w=-])")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　 \x85]+")
@@ -72,7 +78,15 @@ def _boiler(name: str, attrs: str) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    return name not in ("html", "body", "article", "main") and bool(HINTS.search(found.get("class", "")) or HINTS.search(found.get("id", "")))
+    return name not in ("html", "body", "article", "main") and any(_furniture(c) for c in f"{found.get('class', '')} {found.get('id', '')}".split())
+
+
+@lru_cache(maxsize=1 << 14)
+def _furniture(token: str) -> bool:
+    """Whether a whole class or id names furniture: all its words are of FURNITURE,
+    BESIDE or numbers, and one at least of FURNITURE."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in BESIDE or w[0].isdigit() for w in words)
 
 
 class _Tags:
@@ -184,6 +198,9 @@ def hash_subtrees(root: Node) -> list[Node]:
     """Sets each node's digest from its label, its texts and its children's digests,
     and the sum of its texts' hashes."""
     nodes = list(_walk(root))
+    for n in nodes:
+        if n.name == "header" and n.boiler and not _boiler("div", n.label[7:]) and _titles(n):
+            n.boiler = False
     for n in reversed(nodes):
         body = [f"{k.digest:x}" if isinstance(k, Node) else _SPACE.sub(" ", k) for k in n.kids]
         if not n.boiler:
@@ -192,6 +209,14 @@ def hash_subtrees(root: Node) -> list[Node]:
     return nodes
 
 
+def _titles(header: Node) -> bool:
+    """Whether a header belongs to a main element or an article and holds a heading."""
+    up = header.parent
+    while up is not None and up.name not in ("main", "article"):
+        up = up.parent
+    return up is not None and any(len(n.name) == 2 and n.name[0] == "h" and n.name[1] in "123456" for n in _walk(header))
+
+
 def _content(root: Node) -> list[Node]:
     """The marked parts: main elements and articles outside template elements and
     outside each other, in order."""
@@ -221,22 +246,43 @@ def _spared(content: list[Node]) -> set[int]:
     return spared
 
 
-def candidates(root: Node) -> dict[int, set[int]]:
-    """Digests of subtrees that may be deleted, all with text below the body but the
-    spared and what goes by name, each with the sums of the page's other texts."""
+@dataclass(frozen=True)
+class Seen:
+    """A subtree on a page: the sum of the page's other texts, whether it stands in a
+    marked part, and what stands before and after it in its parent."""
+
+    digest: int
+    other: int
+    inside: bool
+    before: int
+    after: int
+
+
+def _border(parent: Node, side: str) -> int:
+    return xxhash.xxh64_intdigest(f"{side} {parent.name}")
+
+
+def candidates(root: Node) -> list[Seen]:
+    """Subtrees that may be deleted, all with text below the body but the spared and
+    what goes by name; a page vouches once for each, in and outside marked parts."""
     content = _content(root)
     spared = _spared(content)
     total = sum(n.words for n in content or [root])
-    found: dict[int, set[int]] = {}
-    stack = [(root, not content)]
+    found: dict[tuple[int, bool], Seen] = {}
     tops = {id(n) for n in content}
+    stack = [(root, False, 0, 0)]
     while stack:
-        n, shown = stack.pop()
-        shown = shown or id(n) in tops
+        n, inside, before, after = stack.pop()
+        inside = inside or id(n) in tops
+        key = n.digest, inside
         if n.words and id(n) not in spared and n.name not in ("", "html", "body", "head"):
-            found.setdefault(n.digest, set()).add((total - n.words if shown else total) & _ALL)
-        stack.extend((k, shown) for k in n.kids if isinstance(k, Node) and not k.boiler)
-    return found
+            other = (total - n.words if inside or not content else total) & _ALL
+            if key not in found or other < found[key].other:
+                found[key] = Seen(n.digest, other, inside, before, after)
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.boiler]
+        for i, k in enumerate(kids):
+            stack.append((k, inside, kids[i - 1].digest if i else _border(n, "start"), kids[i + 1].digest if i + 1 < len(kids) else _border(n, "end")))
+    return list(found.values())
 
 
 _END = object()
@@ -290,18 +336,15 @@ def blocks(root: Node, nodes: list[Node], recurring: frozenset[int]) -> list[str
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low = lambda x: (x & _ALL) - (1 << 63)
     for b in batches:
-        hosts, bodies, digests, others = [], [], [], []
+        rows = []
         for host, body, page in zip(*(b.column(i).to_pylist() for i in range(3))):
             root = parse(page or "")
             hash_subtrees(root)
-            for digest, rest in candidates(root).items():
-                # a page vouches for a subtree once
-                hosts.append(host)
-                bodies.append(body)
-                digests.append(digest)
-                others.append(min(rest) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (hosts, bodies, digests, others)], ["site", "body", "digest", "other"])
+            rows += [(host, body, c.digest, low(c.other), low(c.before), low(c.after), c.inside) for c in candidates(root)]
+        columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:6]] if rows else [pa.array([], pa.int64())] * 6
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([r[6] for r in rows], pa.bool_())], ["site", "body", "digest", "other", "before", "after", "inside"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,28 +360,50 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
 
 
-def main_text(pages: DataFrame, share: float = 0.0, least: int = 5) -> DataFrame:
+def templates_of(seen: DataFrame, least: int, share: float, apart: float, same: float) -> DataFrame:
+    """(site, digest, inside) of the templates in ``seen`` rows; see ``main_text``."""
+    texts = seen.select("site", "digest", "inside", "other").distinct().groupBy("site", "digest", "inside").agg(F.count("*").alias("n"))
+    often = cut(texts.where(F.col("n") >= least))  # of known size, so that few are broadcast
+    size = cut(seen.select("site", "body").distinct().groupBy("site").agg(F.count("*").alias("pages")))
+    whole = size.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    within = often.where("inside")
+    # the same subtree in marked parts of all hosts
+    everywhere = texts.where("inside").join(within.select("digest").distinct(), "digest").groupBy("digest").agg(F.sum("n").alias("n_all"))
+    around = seen.where("inside").join(within.select("site", "digest"), ["site", "digest"]).select("site", "digest", "other", "before", "after")
+    placed = None
+    for side in ("before", "after"):
+        one = around.groupBy("site", "digest", side).agg(F.count_distinct("other").alias("k")).groupBy("site", "digest").agg(F.max("k").alias(side))
+        placed = one if placed is None else placed.join(one, ["site", "digest"])
+    facts = within.join(size, "site").join(everywhere, "digest").join(placed, ["site", "digest"])
+    here, elsewhere = F.col("n") / F.col("pages"), (F.col("n_all") - F.col("n")) / (F.lit(whole) - F.col("pages") + 100)
+    sure = facts.where((here >= share) & (here >= apart * elsewhere) & (F.greatest("before", "after") >= same * F.col("n")))
+    return often.where("not inside").select("site", "digest", "inside").unionByName(sure.select("site", "digest", "inside"))
+
+
+def main_text(pages: DataFrame, least: int = 5, share: float = 0.05, apart: float = 8.0, same: float = 0.8) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, text, n_chars)``, a row per
     input row.
 
-    A subtree is a template if it occurs on pages of its host with at least
-    ``least`` different other texts (template elements aside): copies of a page,
-    and pages that differ only in it or in menus and the like, count once. This
-    number does not grow with the host unless ``share`` is given: then the
-    different other texts must also be that share of the host's different pages.
-    A page travels with the templates that occur on it, never with its host's. Null
-    html is empty and gives an empty text; a null or hostless url belongs to the
-    empty host. Other columns are ignored; an empty table gives no rows.
+    A subtree outside marked parts is a template if it occurs on pages of its host
+    with at least ``least`` different other texts (template elements aside): copies
+    of a page, and pages that differ only in it or in menus and the like, count
+    once; this number does not grow with the host. Inside an article or main
+    element prose may recur, so there it must also be on ``share`` of the host's
+    different pages, ``apart`` times as often as on all other hosts (which count
+    as 100 pages more), and in ``same`` of the cases after or before the same
+    sibling, or first or last in the same kind of parent. A page travels with
+    the templates that occur on it, never with its host's. Null html is empty and
+    gives an empty text; a null or hostless url belongs to the empty host. Other
+    columns are ignored; an empty table gives no rows.
     """
     prepare(pages.sparkSession)
     pages = spread(pages.select("page_id", "url", "html"))
     site = F.xxhash64(host_of())
     body = F.when(F.length("html") > 0, F.xxhash64(host_of(), "html"))
-    seen = cut(pages.select(site.alias("site"), body.alias("body"), "html").where("body is not null").mapInArrow(_hashes, "site long, body long, digest long, other long"))
-    kept = seen.select("site", "digest", "other").distinct().groupBy("site", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    if share:
-        size = seen.select("site", "body").distinct().groupBy("site").agg(F.count("*").alias("pages"))
-        kept = kept.join(size, "site").where(F.col("n") >= F.col("pages") * share)
-    kept = cut(kept.select("site", "digest"))  # of known size, so that few are broadcast
-    templates = cut(seen.join(kept, ["site", "digest"]).groupBy("body").agg(F.collect_set("digest").alias("recurring")))
+    seen = cut(pages.select(site.alias("site"), body.alias("body"), "html").where("body is not null").mapInArrow(_hashes, "site long, body long, digest long, other long, before long, after long, inside boolean"))
+    kept = cut(templates_of(seen, least, share, apart, same))
+    # a page with marked parts shows nothing else, others have no inside
+    marked = seen.groupBy("body").agg(F.max("inside").alias("marked"))
+    used = seen.join(kept, ["site", "digest", "inside"]).groupBy("body", "inside").agg(F.collect_set("digest").alias("recurring"))
+    templates = cut(used.join(marked, "body").where("inside = marked").select("body", "recurring"))
     return pages.withColumn("body", body).join(templates, "body", "left").select("page_id", "url", "html", "recurring").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
