@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from wavemill.functions import tables
-from wavemill.operators import recurrent
+from wavemill.operators import decode, recurrent
 from wavemill.operators.contract import OUTLETS, check_contracts
 from wavemill.sources.wav import read_wav
 from wavemill.sources.wav_source import WavSource, write_wav
@@ -57,6 +57,53 @@ def test_contracts(spark):
     assert [tuple(r) for r in other] == [("bare", 0, "missing", None, None)]
 
 
+def test_encoder_outputs_are_checked():
+    """Padding to buckets, and the first of the broken rules."""
+    met = []
+
+    def graph(shape, lengths, drop=()):
+        def run(inputs):
+            met.append((inputs["audio_signal"].shape, int(inputs["length"][0])))
+            out = {"outputs": np.ones(shape, np.float32), "encoded_lengths": np.array(lengths, np.int64)}
+            return {k: v for k, v in out.items() if k not in drop}
+
+        return run
+
+    x = np.ones((80, 65), np.float32)
+    assert decode.run_encoder(graph((1, 4, 16), [9]), x, 64).shape == (4, 9) and met == [((1, 80, 128), 64)]
+    assert decode.padded(np.ones((3, 64))).shape == (1, 3, 64) and decode.padded(np.ones((3, 0))).shape == (1, 3, 64)
+    assert decode.padded(x)[0, :, 65:].sum() == 0
+    for run, text in ((graph((1, 4, 9), [9], ["outputs"]), "no outputs"), (graph((1, 4), [2], ["encoded_lengths"]), "no encoded_lengths"), (graph((4, 9), [3, 3]), "three dimensions"), (graph((2, 4, 9), [3, 3]), "batch of 2"), (graph((1, 4, 9), [3, 3]), "lengths of shape"), (graph((1, 4, 9), [-1]), "length of -1"), (graph((1, 4, 9), [10]), "10 in 9 frames")):
+        with pytest.raises(decode.BackendError, match=text):
+            decode.run_encoder(run, x, 64)
+
+
+def test_transducer_over_graphs():
+    """The adapter decodes as the stand-in does: states are handed on with tokens that are not blank only."""
+    fake = decode.FeatureTransducer()
+
+    def encoder(inputs):
+        x, n = inputs["audio_signal"][0], int(inputs["length"][0])
+        codes = np.floor(x[:3, :].T.astype(np.float64) @ np.array([5.0, 3.0, 7.0])) % 97
+        return {"outputs": codes[None, None].astype(np.float32), "encoded_lengths": np.array([n])}
+
+    def joint(inputs):
+        state = int(inputs["input_states_1"][0, 0, 0])
+        logits, following = fake.joint(inputs["encoder_outputs"][0, :, 0], int(inputs["targets"][0, 0]), state)
+        states = np.full(decode.STATE, following, np.float32)
+        return {"outputs": logits.astype(np.float32)[None, None, None], "output_states_1": states, "output_states_2": states}
+
+    model = decode.OnnxTransducer(encoder, joint, fake.size)
+    for n in (1, 2, 40, 200):
+        x = np.random.default_rng(n).integers(-3, 4, (n, 8)).astype(np.float64)
+        a, b = model.encode(x), fake.encode(x)
+        assert decode.greedy_decode(model.joint, a, a.shape[1], model.size, model.state) == decode.greedy_decode(fake.joint, b, b.shape[1], fake.size, fake.state)
+    with pytest.raises(decode.BackendError, match="logits"):
+        decode.OnnxTransducer(encoder, joint, 40).joint(np.ones(1), 0, model.state)
+    assert decode.providers("cpu") == ["CPUExecutionProvider"] and decode.providers("tensorrt")[1] == "CUDAExecutionProvider"
+    assert decode.providers("qnn") == ["QNNExecutionProvider", "CPUExecutionProvider"] and decode.providers("auto")[-1] == "CPUExecutionProvider" and len(decode.providers("auto")) == 10
+
+
 def test_recurrent_scores(spark, monkeypatch):
     """Sources of all lengths, long ones over many batches, and null inputs."""
     monkeypatch.setattr(recurrent, "STRETCH", 8)

@@ -29,19 +29,104 @@ class FakeModel:
         return [f"n{len(x)} {'pos' if float(np.sum(x, dtype=np.float64)) > 0 else 'neg'}" for x in audio]
 
 
-class OnnxModel:
-    """A single-graph recogniser in ONNX form, loaded once per worker; optional."""
+class BackendError(RuntimeError):
+    code = "backend"
 
-    def __init__(self, path: str, providers: list[str] | None = None, threads: int = 4):
+
+#: Layers and size of the decoder's states; frames of a bucket of lengths.
+STATE, BUCKET = (2, 1, 640), 64
+
+
+def padded(features: np.ndarray, bucket: int = BUCKET) -> np.ndarray:
+    """[mel, frame] features as [1, mel, width], zeros up to a whole number of buckets, so
+    that a graph meets few widths."""
+    width = max(1, -(-features.shape[1] // bucket)) * bucket
+    return np.pad(features.astype(np.float32), ((0, 0), (0, width - features.shape[1])))[None]
+
+
+def run_encoder(run: Callable[[dict], dict], features: np.ndarray, valid: int, bucket: int = BUCKET) -> np.ndarray:
+    """The encoder's frames [size, length] for [mel, frame] features, ``valid`` of them real.
+
+    ``run`` takes the graph's inputs and gives its outputs by name. What comes back
+    is checked in a fixed order: both outputs, three dimensions, a batch of one,
+    as many values as the shape says, one length, neither negative nor beyond the
+    frames.
+    """
+    out = run({"audio_signal": padded(features, bucket), "length": np.array([valid], np.int64)})
+    for name in ("outputs", "encoded_lengths"):
+        if out.get(name) is None:
+            raise BackendError(f"the encoder gave no {name}")
+    encoded, lengths = np.asarray(out["outputs"]), np.asarray(out["encoded_lengths"])
+    if encoded.ndim != 3:
+        raise BackendError(f"encoder output of shape {encoded.shape}; three dimensions are expected")
+    if encoded.shape[0] != 1:
+        raise BackendError(f"an encoder batch of {encoded.shape[0]}; one is expected")
+    if lengths.shape != (1,):
+        raise BackendError(f"encoder lengths of shape {lengths.shape}; one is expected")
+    length = int(lengths[0])
+    if length < 0:
+        raise BackendError(f"an encoder length of {length}")
+    if length > encoded.shape[2]:
+        raise BackendError(f"an encoder length of {length} in {encoded.shape[2]} frames")
+    return encoded[0, :, :length]
+
+
+def providers(device: str) -> list[str]:
+    """Execution providers in the order of preference: the device's own, which must
+    register, then the processor; TensorRT falls back to CUDA first."""
+    own = PROVIDERS.get(device)
+    if device == "auto":
+        return [f"{PROVIDERS[d]}ExecutionProvider" for d in AUTO] + ["CPUExecutionProvider"]
+    if device == "tensorrt":
+        return ["TensorrtExecutionProvider", "CUDAExecutionProvider", "CPUExecutionProvider"]
+    return ([f"{own}ExecutionProvider"] if own else []) + ["CPUExecutionProvider"]
+
+
+#: Provider names of devices, and the order in which auto tries them.
+PROVIDERS = {"directml": "Dml", "cuda": "CUDA", "tensorrt": "Tensorrt", "openvino": "OpenVINO", "qnn": "QNN", "vitis": "VitisAI", "nvrtx": "NvTensorRtRtx", "webgpu": "WebGPU", "tvm": "Tvm", "xnnpack": "Xnnpack", "onednn": "Dnnl"}
+AUTO = ("nvrtx", "tensorrt", "cuda", "qnn", "vitis", "openvino", "directml", "webgpu", "onednn")
+
+
+class OnnxTransducer:
+    """A converted model's two graphs behind the interface of ``recognise``: ``encoder``
+    and ``joint_graph`` take inputs and give outputs by name, as ``sessions`` makes
+    them from files. The state is the pair of arrays that the decoder hands on."""
+
+    def __init__(self, encoder: Callable[[dict], dict], joint_graph: Callable[[dict], dict], size: int):
+        self.encoder, self.joint_graph, self.size = encoder, joint_graph, size
+        self.state = (np.zeros(STATE, np.float32), np.zeros(STATE, np.float32))
+
+    @staticmethod
+    def sessions(paths: list[str], device: str = "cpu", threads: int = 4) -> list[Callable[[dict], dict]]:
         import onnxruntime as ort
 
         options = ort.SessionOptions()
         options.intra_op_num_threads, options.inter_op_num_threads = threads, 1
-        self.session = ort.InferenceSession(path, options, providers=providers or ["CPUExecutionProvider"])
+        found = [p for p in providers(device) if device != "auto" or p in ort.get_available_providers()]
+        if found[0] not in ort.get_available_providers():
+            raise BackendError(f"{device} is not available")
 
-    def transcribe(self, audio: list[np.ndarray]) -> list[str]:
-        name = self.session.get_inputs()[0].name
-        return [str(np.asarray(self.session.run(None, {name: x[None].astype(np.float32)})[0]).ravel()[0]) for x in audio]
+        def runner(session) -> Callable[[dict], dict]:
+            names = [o.name for o in session.get_outputs()]
+            return lambda inputs: dict(zip(names, session.run(names, inputs)))
+
+        return [runner(ort.InferenceSession(p, options, providers=found)) for p in paths]
+
+    def encode(self, features: np.ndarray) -> np.ndarray:
+        """[frame, mel] features, whose last frame is the tail, to [size, length]."""
+        x = np.asarray(features, np.float32).reshape(len(features), -1).T
+        return run_encoder(self.encoder, x, x.shape[1] - 1) if x.size else np.zeros((1, 0), np.float32)
+
+    def joint(self, frame: np.ndarray, previous: int, state: tuple) -> tuple[np.ndarray, tuple]:
+        out = self.joint_graph({"encoder_outputs": frame.astype(np.float32)[None, :, None], "targets": np.array([[previous]], np.int32), "target_length": np.array([1], np.int32), "input_states_1": state[0], "input_states_2": state[1]})
+        logits = np.asarray(out["outputs"]).ravel()
+        if len(logits) < self.size + 1:
+            raise BackendError(f"{len(logits)} logits for {self.size} tokens and a duration")
+        following = tuple(np.asarray(out[n]) for n in ("output_states_1", "output_states_2"))
+        for x in following:
+            if x.shape != STATE:
+                raise BackendError(f"a state of shape {x.shape}; {STATE} is expected")
+        return logits, following
 
 
 def transcribe(segments: DataFrame, model: Callable[[], AsrModel], samples: str = "samples") -> DataFrame:
