@@ -122,7 +122,7 @@ def test_templates_equal_brute_force(spark):
             parts.insert(0, "<div>lead in</div>") if rnd.random() < 0.3 else None
         body = "".join(parts)
         rows.append((i, f"http://{host}/{i}", f"<article>{body}</article><div>legal</div>" if i % 3 else f"<div>{body}</div><div>legal</div>"))
-    least, share, apart, same = 5, 0.05, 8.0, 0.8
+    least, share, apart, same = 5, 0.2, 8.0, 0.8
     texts, places, bodies = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(set)
     for _, url, page in rows:
         host = url.split("/")[2]
@@ -148,4 +148,16 @@ def test_templates_equal_brute_force(spark):
     seen = pages.select(F.xxhash64(html_text.host_of()).alias("site"), F.xxhash64("html").alias("body"), "html").mapInArrow(html_text._hashes, "site long, body long, digest long, other long, before long, after long, inside boolean")
     names = {r[0]: r[1] for r in spark.createDataFrame([(h,) for h in bodies], "h string").select(F.xxhash64("h"), "h").collect()}
     got = {(names[r.site], r.digest, r.inside) for r in html_text.templates_of(seen, least, share, apart, same).collect()}
-    assert got == want and sum(w for *_, w in want) >= 2
+    assert got == want and sum(w for *_, w in want) >= 1
+
+
+def test_edited_copies_keep_their_paragraphs(spark):
+    """Versions of one article on a small host, each with another edit, are no template."""
+    rows = []
+    for i in range(12):
+        parts = [f"<p>Part {k} of the one story.</p>" for k in range(20)]
+        parts[i % 20] = f"<p>Part {i} was edited {i}.</p>"
+        rows.append((i, f"http://a.example/{i}", f"<article>{''.join(parts)}</article>"))
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><p>Other {i}</p></article>") for i in range(200)]
+    got = shown(spark, rows)
+    assert all(got[i].count("\n") == 19 for i in range(12))

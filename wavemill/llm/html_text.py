@@ -352,7 +352,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, recurring in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             root = parse(page or "")
-            texts.append("\n".join(blocks(root, hash_subtrees(root), frozenset(recurring or ()))))
+            nodes = hash_subtrees(root)
+            text = "\n".join(blocks(root, nodes, frozenset(recurring or ())))
+            if recurring and _content(root):
+                whole = "\n".join(blocks(root, nodes, frozenset()))
+                text = whole if 2 * len(text) < len(whole) else text
+            texts.append(text)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -380,7 +385,7 @@ def templates_of(seen: DataFrame, least: int, share: float, apart: float, same:
     return often.where("not inside").select("site", "digest", "inside").unionByName(sure.select("site", "digest", "inside"))
 
 
-def main_text(pages: DataFrame, least: int = 5, share: float = 0.05, apart: float = 8.0, same: float = 0.8) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 5, share: float = 0.2, apart: float = 8.0, same: float = 0.8) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, text, n_chars)``, a row per
     input row.
 
@@ -391,7 +396,8 @@ def main_text(pages: DataFrame, least: int = 5, share: float = 0.05, apart: floa
     element prose may recur, so there it must also be on ``share`` of the host's
     different pages, ``apart`` times as often as on all other hosts (which count
     as 100 pages more), and in ``same`` of the cases after or before the same
-    sibling, or first or last in the same kind of parent. A page travels with
+    sibling, or first or last in the same kind of parent. Where more than half of
+    the marked text would go, the page is an edited copy of others and keeps all. A page travels with
     the templates that occur on it, never with its host's. Null html is empty and
     gives an empty text; a null or hostless url belongs to the empty host. Other
     columns are ignored; an empty table gives no rows.
