@@ -91,3 +91,11 @@ def test_edges(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(docs).collect() == []
+
+
+def test_rows_of_one_document(spark):
+    """Different texts under one doc_id, also empty ones, share a component, and join those of others."""
+    rows = [(5, "a b c d e f"), (5, "u v w x y z"), (1, "u v w x y z"), (7, ""), (7, "k l m n"), (7, None), (9, "k l m n"), (8, ""), (8, None), (3, "q r s t"), (3, "q r s t"), (2, "one two three four"), (2, "five six seven eight")]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect())
+    want = {5: 1, 1: 1, 7: 7, 9: 7, 8: 8, 3: 3, 2: 2}
+    assert got == sorted((i, len(shingles(t, 3)), want[i]) for i, t in rows)

@@ -230,13 +230,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     Texts link when their shingle sets' Jaccard similarity is at least num/den;
     component_id is the smallest doc_id reachable by links. A null text is
     empty; an empty set links with nothing. Rows that share a doc_id are one
-    document. A null doc_id keeps a null component and links with nothing.
+    document and have one component, each row with its own n_shingles; a link of
+    any of their texts is one of theirs. A null doc_id keeps a null component and links with nothing.
     Columns besides doc_id and text are ignored.
     """
     prepare(docs.sparkSession)
     docs = spread(docs.select("doc_id", "text"))
     signed = cut(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, node long"))
     known = docs.where("doc_id is not null and text is not null")
+    # rows of one doc_id are one document, whatever their texts: few, if any
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("node").alias("own")).where("rows > 1 AND own IS NOT NULL")
+    several = cut(several.select("doc_id", "own"))
+    signed = signed.join(several, "doc_id", "left")
+    joined = signed.where("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b")).distinct()
+    signed = signed.select("doc_id", "n_shingles", F.coalesce("node", "own").alias("node"))
 
     def keys(of: DataFrame) -> DataFrame:
         return of.mapInArrow(_keys(n, num, den), "key long, node long")
@@ -257,7 +264,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     sets = texts.mapInArrow(_packed(n), "node long, grams binary, sketch binary").where("node is not null").dropDuplicates(["node"])
     sets = cut(sets.join(nodes, "node", "left_semi"))
     checked = compared(pairs, sets)
-    roots = components(checked.where(linked).select("a", "b"))
+    roots = components(checked.where(linked).select("a", "b").unionByName(joined))
 
     # Texts that share a part share its leader, so pairs left open are within a
     # leader's group; groups in one component are done.
@@ -288,7 +295,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     )
     more = compared(rest, sets).where(linked).select("a", "b")
     if not more.isEmpty():
-        roots = components(checked.where(linked).select("a", "b").unionByName(more))
+        roots = components(checked.where(linked).select("a", "b").unionByName(more).unionByName(joined))
     placed = signed.join(roots.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     lowest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(lowest, "root", "left")
