@@ -61,3 +61,19 @@ def test_odd_rows(spark):
     got = topk.embeddings_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(100, 1, 1, 1024 * 512 - 2048 * 3072)]
     assert topk.embeddings_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_widths_apart(spark):
+    """Each width is searched by itself, also where most rows have another one; a query id with two vectors is one query."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=3 if i % 4 else 2)]) for i in range(0, 900, 5)] + [(1000, [1.0]), (300, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.embeddings_top_k(df, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    floors = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for query in {i for i, _ in rows if i % 100 == 0}:
+        q = min(v for i, v in floors if i == query)
+        best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in floors if len(v) == len(q) and i != query)[:3]
+        assert got.get(query, []) == [(i, -s) for s, i in best]
+    assert 1000 not in got

@@ -14,6 +14,7 @@ ones are bounded lower still.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from .base import cut, prepare, spread
 PIVOTS, ANNULI, SAMPLE, TILE = 48, 8, 4096, 2048
 #: A query's first annuli, and how many times as many it has visited after each further step.
 FIRST, WIDEN = 4, 8
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -131,25 +133,32 @@ def _search(k: int):
 
 
 def top_k(items: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
+    """``top_of_width`` for each width of the queries' vectors: a query and its results
+    have the same number of components."""
+    widths = [r.w for r in queries.select(F.size("vector").alias("w")).distinct().orderBy("w").collect()]  # not rows
+    found = [top_of_width(*(x.where(F.size("vector") == w) for x in (items, queries)), k, pivots) for w in widths]
+    return reduce(DataFrame.unionByName, found) if found else items.sparkSession.createDataFrame([], RESULT)
+
+
+def top_of_width(items: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFrame:
     """``items``, ``queries`` of ``(vec_id long, vector array<double>)`` of whole
     numbers -> ``(query_id, rank, vec_id, score)``: the k best items of each query
     but itself by inner product, ties to the smaller vec_id.
 
     Pivots and ring borders are fitted on at most ``SAMPLE`` vectors, by the order
-    of their hashed ids; every vector is indexed. Vectors must have one width;
-    others than that of the smallest hashed id take no part. Repeated rows count
-    once. Of equal vectors only the k + 1 of smallest id can be in a result; the
+    of their hashed ids; every vector is indexed. All have one width. Repeated rows
+    count once; a query id with several vectors asks with the least of them, and as
+    a candidate it stands for each. Of equal vectors only the k + 1 of smallest id can be in a result; the
     index leaves out the others, which changes nothing.
     """
     spark = items.sparkSession
     prepare(spark)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    empty = spark.createDataFrame([], RESULT)
     order = F.xxhash64("vec_id")
     sample = items.orderBy(order, "vec_id").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
     if not sample:
         return empty
-    width = len(sample[0])
-    fitted = np.array([v for v in sample if len(v) == width])
+    fitted = np.array(sample)
     centers = fit_pivots(fitted, pivots)
     d = distances(fitted, centers)
     near = d.argmin(1)
@@ -157,8 +166,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOT
     first = W.partitionBy("vector", "salt").orderBy("vec_id")
     again = W.partitionBy("vector").orderBy("vec_id")
     distinct = (
-        items.where(F.size("vector") == width)
-        .withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+        items.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
         .withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
         .withColumn("n", F.row_number().over(W.partitionBy("vector", "vec_id").orderBy("salt"))).where("n = 1")
         .withColumn("n", F.row_number().over(again)).where(F.col("n") <= k + 1)
@@ -170,7 +178,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOT
     cells["tiles"] = -(-cells["n"] // TILE)
     tiles = F.broadcast(spark.createDataFrame(cells[["pivot", "ring", "tiles"]].astype("int32"), "pivot int, ring int, tiles int"))
     stored = indexed.join(tiles, ["pivot", "ring"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    asked = cut(queries.where(F.size("vector") == width).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")))
+    asked = cut(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query")))
     blocks = max(1, -(-asked.count() // TILE))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
