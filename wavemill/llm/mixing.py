@@ -73,14 +73,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
 
     ``size`` is the words of the text (null: 0), ``taken`` the words that the mix
     takes of it, repeats counted, at most ``most`` times its size. Ties in the
-    seeded order go by doc_id and size; repeated rows share a place in it in any
-    order and a null doc_id has a place of its own. An empty table gives no rows.
+    seeded order, which is of doc_id and text, go by doc_id and size; repeated rows
+    share a place in it in any order, and rows without a doc_id spread by their
+    texts. An empty table gives no rows.
     Small corpora are dealt in smaller blocks. Sources of more than ``max_shards``
     times ``shard_words`` words have larger shards.
     """
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("__order"))
     per = cut(sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")))
     block = min(block, max(1, (per.agg(F.sum("source_size")).first()[0] or 0) // 4096))
     goal = targets(per, weights, most)
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     quotas = cut(apportion(goal.withColumn("seats", seats), [], "target", "seats").withColumn("shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")))
     side = quotas.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota"), F.col("shards").alias("__shards"))
     at = sized.join(side, F.col("__source").eqNullSafe(F.col("__of")))
-    at = at.withColumn("__order", F.xxhash64(F.lit(seed), "__id", "__size")).withColumn("__shard", F.pmod(F.xxhash64("__order"), F.col("__shards")).cast("int"))
+    at = at.withColumn("__shard", F.pmod(F.xxhash64("__order"), F.col("__shards")).cast("int"))
     place = at.select("__source", "__shard", "__size", "__quota")
     shard = place.groupBy("__source", "__shard").agg(F.sum("__size").alias("words"), F.first("__quota").alias("seats"))
     blocks = F.greatest(F.ceil(F.col("words") / block).cast("long"), F.lit(1))
