@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # one text of each candidate set, found by its smallest doc_id
     chosen = signed.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
-    texts = cut(known.join(chosen.select("doc_id").distinct(), "doc_id"))
+    texts = known.join(chosen.select("doc_id").distinct(), "doc_id")  # used once
     sets = texts.mapInArrow(_packed(n), "node long, grams binary, sketch binary").where("node is not null").dropDuplicates(["node"])
     sets = cut(sets.join(nodes, "node", "left_semi"))
     checked = compared(pairs, sets)
