@@ -32,6 +32,8 @@ from .textnum import mix64, shingle_sets, slices, string_parts, words
 
 #: Rows of a tile in the second step, on average, and shares a leader's group is dealt in.
 TILE, SALTS = 512, 32
+#: Bytes of a shingle in a set.
+GRAM = 7
 
 _POSITION = np.uint64((1 << 24) - 1)
 _SEEDS = [np.uint64(0x51ED270B7F4A7C15 + 0x9E3779B97F4A7C15 * j & (1 << 64) - 1) for j in range(8)]
@@ -148,14 +150,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(other[:, 0]), pa.array(other[:, 1])], ["a", "b"])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Shingles as their ``GRAM`` low bytes, which hold all of a 52-bit value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // GRAM, 8), np.uint8)
+    out[:, :GRAM] = np.frombuffer(data, np.uint8).reshape(-1, GRAM)
+    return out.view("<u8").ravel()
+
+
 def _packed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, row, value, size, node in _sets(batch, n):
                 ends = np.cumsum(size)
-                packed = [value[e - s : e].tobytes() for s, e in zip(size, ends)]
+                grams = [packed(value[e - s : e]) for s, e in zip(size, ends)]
                 folds = [fold_sketch(value[e - s : e]).tobytes() for s, e in zip(size, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64), mask=size == 0), pa.array(packed, pa.binary()), pa.array(folds, pa.binary())], ["node", "grams", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64), mask=size == 0), pa.array(grams, pa.binary()), pa.array(folds, pa.binary())], ["node", "grams", "sketch"])
 
     return run
 
@@ -217,9 +230,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+            both = np.concatenate((unpacked(x), unpacked(y)))
             both.sort()
-            got.append((len(x) // 8, len(y) // 8, int((both[1:] == both[:-1]).sum())))
+            got.append((len(x) // GRAM, len(y) // GRAM, int((both[1:] == both[:-1]).sum())))
         na, nb, both = (np.array(c, np.int64) for c in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(na), pa.array(nb), pa.array(both)], ["a", "b", "na", "nb", "common"])
 
@@ -268,7 +281,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
 
     # Texts that share a part share its leader, so pairs left open are within a
     # leader's group; groups in one component are done.
-    size = sets.select("node", "sketch", (F.length("grams") / 8).cast("long").alias("size"))
+    size = sets.select("node", "sketch", (F.length("grams") / GRAM).cast("long").alias("size"))
     facts = size.join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
     distance = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     group = checked.select(F.col("a").alias("leader"), F.col("b").alias("node"), distance.alias("d"))
