@@ -2,6 +2,11 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wavemill.llm import url_filter as uf
 
@@ -30,6 +35,17 @@ def test_viterbi_equals_enumeration():
     assert uf.segment("cheappills", logs, math.log(1 / 500)) == ["cheap", "pills"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=9), st.dictionaries(st.text("ab", min_size=1, max_size=5), st.integers(1, 40), max_size=6))
+def test_viterbi_scores_as_enumeration(name, counts):
+    total = sum(counts.values()) + len(counts) + 2
+    logs, unknown = {w: math.log(n / total) for w, n in counts.items()}, math.log(1 / total)
+    got = uf.segment(name, logs, unknown)
+    assert "".join(got) == name
+    if name:
+        assert abs(sum(logs.get(w, unknown * (1 + len(w) / 2)) for w in got) - brute_split(name, logs, unknown)[0]) < 1e-9
+
+
 def brute(url):
     url = url or ""
     if "://" not in url:
@@ -86,3 +102,32 @@ def test_all_words_count(spark):
 
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_long_words_and_long_tags(spark):
+    word = "donaudampfschifffahrtsgesellschaft"  # 34 letters
+    tag = '<a title="' + "hidden " * 600 + '">'
+    rows = [(0, f"http://kapitan{word}.org/x", f"{tag}kapitan {word} garden</a> 1 < 2 garden"), (1, "http://" + "z" * 70 + ".org/", "<b unclosed hidden"), (2, "http://hiddengarden.org/", None)]
+    rows += [(3 + i, f"http://h{i}.org/", f"kapitan {word} garden") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = {r.w: r.n for r in uf.vocabulary(pages.select("html", F.lit("").alias("host"), F.lit("").alias("path")))[0].collect()}
+    assert counts[word] == 6 and counts["garden"] == 7 and "hidden" not in counts
+    got = {r.page_id: r.words for r in uf.judge(pages).collect()}
+    assert got[0] == f"kapitan {word} x" and got[1] == "z" * 70 and got[2] == "hidden garden"
+
+
+def test_scores_equal_counting_and_differ_from_the_seed_list(spark):
+    urls = ["http://luckywheel.org/casino/bonus"] * 6 + ["http://luckywheel.net/bonus/"] * 3 + ["http://luckywheel.org/bonus/9"] + ["http://pleasant.org/garden/9"] * 30
+    urls += ["http://pleasant.org/garden/spam/garden/garden/9", None]
+    rows = [(i, u, "<p>lucky wheel bonus pleasant garden lucky wheel</p>") for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    said = {i: r.words.split() for i, r in got.items()}
+    bad = {i: bool(set(ws) & set(uf.SEEDS)) for i, ws in said.items()}
+    n1, n0 = (Counter(w for i, ws in said.items() if bad[i] == side for w in ws) for side in (True, False))
+    used = len({*n1, *n0})
+    prior = math.log((sum(bad.values()) + 1) / (len(said) - sum(bad.values()) + 1))
+    for i, r in got.items():
+        want = prior + sum(math.log((n1[w] + 1) / (n1.total() + used)) - math.log((n0[w] + 1) / (n0.total() + used)) for w in said[i])
+        assert abs(r.log_odds - want) < 1e-9 and (r.rule is not None or r.verdict == ("block" if want > 0 else "allow"))
+    # blocked by its words without any seed word, allowed in spite of one
+    assert not bad[9] and got[9].verdict == "block" and bad[40] and got[40].verdict == "allow"

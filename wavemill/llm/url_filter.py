@@ -26,8 +26,10 @@ from .base import cut, prepare, spread
 SEEDS = "adult ads bet bets betting bingo casino cheap crack dating escort gambling jackpot keygen loan lottery malware nude payday phishing pharma pharmacy pills poker porn porno replica sex slots spam torrent track tracker viagra warez xxx".split()
 #: Fixed values: (host, path, verdict) rules.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Longest word of a split, bytes of a chunk of urls.
-LONGEST, CHUNK_BYTES = 24, 4 << 20
+#: Letters that a word is looked up by, bytes of a chunk of urls, found words held at once.
+HEAD, CHUNK_BYTES, HELD = 24, 4 << 20, 1 << 18
+#: A tag, closed or cut off by the end, and a character reference.
+MARKUP = r"<[/!?a-zA-Z][^>]*+(?:>|\z)|&[a-zA-Z#0-9]{1,8};"
 SUBDOMAINS = frozenset("www m blog amp mobile web".split())
 
 
@@ -49,17 +51,25 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
     return rule, verdict
 
 
-def segment(name: str, logs: dict[str, float], unknown: float) -> list[str]:
+def segment(name: str, logs: dict[str, float], unknown: float, lengths: list[int] | None = None) -> list[str]:
     """The most probable split of ``name`` into words of the unigram model; an
-    unknown word pays ``unknown`` and as much again per two characters."""
+    unknown word of any length pays ``unknown`` and as much again per two characters.
+
+    ``lengths`` are those of the model's words, longest first. An unknown word's
+    price grows evenly, so its best start so far is the best start for every end.
+    """
+    lengths = sorted({*map(len, logs)}, reverse=True) if lengths is None else lengths
     n = len(name)
     best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+    start, ahead = 0, 0.0
     for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST), j):
-            w = name[i:j]
-            s = best[i] + logs.get(w, unknown * (1 + len(w) / 2))
-            if s > best[j]:
-                best[j], back[j] = s, i
+        if best[j - 1] - unknown * (j - 1) / 2 > ahead:
+            start, ahead = j - 1, best[j - 1] - unknown * (j - 1) / 2
+        best[j], back[j] = best[start] + unknown * (1 + (j - start) / 2), start
+        for size in lengths:
+            s = logs.get(name[j - size : j]) if size <= j else None
+            if s is not None and best[j - size] + s > best[j]:
+                best[j], back[j] = best[j - size] + s, j - size
     out = []
     while n:
         out.append(name[back[n] : n])
@@ -84,27 +94,34 @@ def tokens(host: str, path: str, splits) -> list[str]:
 class Splitter:
     def __init__(self, logs: dict[str, float], unknown: float):
         self.logs, self.unknown, self.known = logs, unknown, {}
+        self.lengths = sorted({*map(len, logs)}, reverse=True)
 
     def __call__(self, part: str) -> list[str]:
         if len(part) > 255:  # rarely seen twice
-            return segment(part, self.logs, self.unknown)
+            return segment(part, self.logs, self.unknown, self.lengths)
         if part not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[part] = segment(part, self.logs, self.unknown)
+            self.known[part] = segment(part, self.logs, self.unknown, self.lengths)
         return self.known[part]
 
 
+def _listed(found: set[tuple[int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())], ["of", "head"])
+
+
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (chunk, word that can occur) of a batch's urls."""
+    """(chunk, first ``HEAD`` letters of a word that can occur) of a batch's urls."""
     for b in batches:
         parts = {(c, part) for c, host, path in zip(*(b.column(i).to_pylist() for i in range(3))) for part in named(host, path) if not part.isdigit()}
         found = set()
         for c, part in parts:
-            found.update((c, part[i:j]) for i in range(len(part)) for j in range(i + 1, min(len(part), i + LONGEST) + 1))
-        some = list(found)
-        for lo in range(0, len(some), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some[lo : lo + 65536]], pa.int32()), pa.array([w for _, w in some[lo : lo + 65536]], pa.string())], ["of", "w"])
+            for i in range(len(part)):
+                found.update((c, part[i:j]) for j in range(i + 1, min(len(part), i + HEAD) + 1))
+                if len(found) > HELD:
+                    yield _listed(found)
+                    found = set()
+        yield _listed(found)
 
 
 _SAID = "chunk int, page_id long, host string, path string, words string"
@@ -131,11 +148,11 @@ def _scores(prior: float):
 
 def vocabulary(pages: DataFrame) -> tuple[DataFrame, int]:
     """Counts (w, n) of all words of hyphenated hosts and path segments and of page
-    texts, and the number that probabilities divide by; an unknown word counts 1
-    and the seed words are always known."""
-    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]{0,2000}>|&[a-zA-Z#0-9]{1,8};", " ")
+    texts, of any length, and the number that probabilities divide by; an unknown
+    word counts 1 and the seed words are always known."""
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), MARKUP, " ")
     everything = F.lower(F.concat_ws(" ", text, F.when(F.col("host").contains("-"), F.col("host")), F.array_join(F.regexp_extract_all("path", F.lit("[^/]*[-_+][^/]*"), F.lit(0)), " ")))
-    words = pages.select(F.explode(F.split(everything, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, LONGEST)).where(~F.col("w").isin(*SUBDOMAINS))
+    words = pages.select(F.explode(F.split(everything, r"[^\p{L}]+")).alias("w")).where(F.length("w") > 0).where(~F.col("w").isin(*SUBDOMAINS))
     counts = cut(words.groupBy("w").agg(F.count("*").alias("n")))
     seen = {r.w: r.n for r in counts.where(F.col("w").isin(*SEEDS)).collect()}
     seeds = F.create_map(*[F.lit(x) for w in SEEDS for x in (w, max(seen.get(w, 0), 20))])
@@ -150,9 +167,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     log_odds, words)``, a row per input row.
 
     A null url, or one without ``://``, has an empty host and path, no rule, and
-    is judged by the prior alone. A positive log odds blocks; without any seed
-    word in the table nothing does. Repeated rows are judged alike; other columns
-    are ignored; an empty table gives no rows.
+    is judged by the prior alone. A positive log odds blocks, a tie at zero
+    allows; without any seed word in the table nothing is blocked. Urls of any
+    length are split whole. Repeated rows are judged alike; other columns are
+    ignored; an empty table gives no rows.
     """
     prepare(pages.sparkSession)
     host, path = split_url(F.col("url"))
@@ -163,7 +181,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     chunks = max(pages.sparkSession.sparkContext.defaultParallelism, size // CHUNK_BYTES)
     urls = urls.select(F.pmod("salt", F.lit(chunks)).cast("int").alias("chunk"), "page_id", "host", "path")
     counts, total = vocabulary(parts)
-    known = urls.select("chunk", "host", "path").mapInArrow(_substrings, "of int, w string").distinct().join(counts, "w").select("of", "w", "n")
+    # longer words come by their first letters: a chunk may hold some that none of its urls has
+    heads = urls.select("chunk", "host", "path").mapInArrow(_substrings, "of int, head string").distinct()
+    known = heads.join(counts.withColumn("head", F.left("w", F.lit(HEAD))), "head").select("of", "w", "n")
     said = cut(urls.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_tokens(total), _SAID))
     listed = F.array_remove(F.split("words", " "), "")
     bad = F.arrays_overlap(listed, F.array(*map(F.lit, SEEDS))).cast("long")
