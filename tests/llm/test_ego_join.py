@@ -93,3 +93,30 @@ def test_order_and_boxes():
     low, high = np.array([r.min(0) for r in runs]), np.array([r.max(0) for r in runs])
     gap = np.maximum(np.maximum(low[:, None] - high[None], low[None] - high[:, None]), 0)
     assert ((gap**2).sum(-1) <= eps * eps).mean() < 0.3
+
+
+def test_tiles_hold_every_pair_once(spark):
+    """Numbers run on over partitions, and a tile's blocks travel once."""
+    names = [(p << 32) + i for p, n in ((0, 3), (2, 1), (3, 7)) for i in range(n)]
+    blocks = spark.createDataFrame([(b,) for b in names], "block long").repartition(3)
+    assert [r.place for r in ego_join.numbered(blocks).orderBy("block").collect()] == list(range(11))
+    pairs = [(a, b) for a in names for b in names if a < b]
+    got = ego_join.tiles(spark.createDataFrame(pairs, "a long, b long"), blocks, 4).collect()
+    place = {b: i // 4 for i, b in enumerate(names)}
+    assert sorted((r.a, r.b) for r in got) == sorted(pairs + [(b, b) for b in names])
+    assert all((r.s, r.t) == (place[r.a], place[r.b]) for r in got)
+    # two blocks for each of 55 pairs and one for each itself, unless by tiles
+    assert len({(r.s, r.t, x) for r in got for x in (r.a, r.b)}) == 33
+
+
+def test_large_tiles(spark, monkeypatch):
+    """Blocks that all meet, several to a tile's side, in groups over all of them."""
+    monkeypatch.setattr(ego_join, "BLOCK", 32)
+    monkeypatch.setattr(ego_join, "LEAF", 16)
+    sides = []
+    dealt = ego_join.tiles
+    monkeypatch.setattr(ego_join, "tiles", lambda pairs, blocks, side: sides.append(side) or dealt(pairs, blocks, side))
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(25, 3))[rng.integers(0, 25, 1500)] + rng.normal(size=(1500, 3)) * 0.4
+    check(spark, [(int(i), [float(c) for c in x]) for i, x in zip(rng.permutation(1500), v)])
+    assert sides[0] > 1

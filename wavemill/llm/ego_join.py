@@ -5,6 +5,8 @@ leading ones, cells as wide as the largest distance that the cosine threshold
 allows. Runs of the sorted sequence are blocks. Two blocks meet only if they
 hold rows in equal or adjoining cells, and if a small interval of one has a box
 near enough to the box of one of the other; only then do their vectors travel.
+Pairs of blocks are dealt by tiles, squares of the numbered sequence, so that a
+block travels once for all its pairs in a tile.
 Their intervals are halved again and again, pairs of intervals whose boxes are
 too far apart are skipped, and small intervals are compared by matrix product in
 double precision.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut, prepare
@@ -29,6 +32,8 @@ from .topk import matrix
 #: Leading axes of the grid and of the boxes, rows of a block and of a leaf, and
 #: vectors that the axes are fitted on (they decide speed only).
 GRID, BOX, BLOCK, LEAF, SAMPLE = 4, 12, 8192, 512, 4096
+#: Most blocks of a tile's side (a worker holds two sides), and the shares of the rows of a cell.
+SIDE, SHARES = 8, 16
 _CELL = 12  # bits of a cell number
 
 
@@ -190,16 +195,21 @@ def link_blocks(ua: np.ndarray, ub: np.ndarray | None, copies: np.ndarray, axes:
 
 
 def _joined(axes: np.ndarray, cosine: float, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                ids_a, copies_a, a, ids_b, copies_b, b = (c[r].as_py() for c in batch.columns)
-                ids = np.frombuffer(ids_a + (ids_b or b""), np.int64)
-                copies = np.frombuffer(copies_a + (copies_b or b""), np.int64)
-                ua = np.frombuffer(a).reshape(-1, width)
-                counts, root = link_blocks(ua, None if b is None else np.frombuffer(b).reshape(-1, width), copies, axes, cosine)
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[root[some]])], ["id", "links", "other"])
+    """Links of a tile: its pairs of blocks, a block with itself included, and their bodies."""
+
+    def run(key: tuple, pairs: pa.Table, bodies: pa.Table) -> pa.Table:
+        column = bodies.column("units")
+        at = {block: i for i, block in enumerate(bodies.column("block").to_pylist())}
+        ids, copies = ([np.frombuffer(x, np.int64) for x in bodies.column(c).to_pylist()] for c in ("ids", "copies"))
+        units = [np.frombuffer(column[i].as_buffer(), np.float64).reshape(-1, width) for i in range(len(column))]
+        found = []
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            x, y = at[a], at[b]
+            both = [x] if a == b else [x, y]
+            counts, root = link_blocks(units[x], None if a == b else units[y], np.concatenate([copies[i] for i in both]), axes, cosine)
+            some, named = np.flatnonzero(counts), np.concatenate([ids[i] for i in both])
+            found.append((named[some], counts[some], named[root[some]]))
+        return pa.table([np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 3)], ["id", "links", "other"])
 
     return run
 
@@ -212,16 +222,37 @@ def _near(alow, ahigh, blow, bhigh, eps: float):
 
 def near_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     """(a, b), a < b, of blocks that may hold a link: they share or adjoin a cell,
-    and the boxes of a pair of their small intervals are near enough."""
+    and the boxes of a pair of their small intervals are near enough. A cell that
+    most blocks hold is no task of its own: its right side is dealt to shares."""
     left = blocks.select(F.col("block").alias("a"), F.col("low").alias("alow"), F.col("high").alias("ahigh"), F.explode("around").alias("cell"))
+    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     right = blocks.select(F.col("block").alias("b"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), F.explode("cells").alias("cell"))
-    met = left.join(right, "cell").where("a < b").where(_near("alow", "ahigh", "blow", "bhigh", eps)).select("a", "b").distinct()
+    right = right.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES)).cast("int"))
+    met = left.join(right, ["cell", "share"]).where("a < b").where(_near("alow", "ahigh", "blow", "bhigh", eps)).select("a", "b").distinct()
     of = F.arrays_zip("lows", "highs")
     x, y = blocks.select(F.col("block").alias("a"), of.alias("x")), blocks.select(F.col("block").alias("b"), of.alias("y"))
     close = F.exists("x", lambda p: F.exists("y", lambda r: _near(p["lows"], p["highs"], r["lows"], r["highs"], eps)))
     return met.join(x, "a").join(y, "b").where(close).select("a", "b")
 
 
+def numbered(blocks: DataFrame) -> DataFrame:
+    """(block, place): places count along the sequence without gaps. The running
+    sum goes over one row per partition of the blocks, not over the blocks."""
+    part = F.shiftright("block", 32)
+    sizes = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
+    inner = F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    return blocks.select("block", part.alias("part"), inner.alias("inner")).join(F.broadcast(before), "part").select("block", (F.col("first") + F.col("inner")).alias("place"))
+
+
+def tiles(pairs: DataFrame, blocks: DataFrame, side: int) -> DataFrame:
+    """``pairs(a, b)`` and each block with itself -> (s, t, a, b): the tile of a pair."""
+    place = numbered(blocks).select("block", F.floor(F.col("place") / side).alias("at"))
+    every = pairs.unionByName(blocks.select(F.col("block").alias("a"), F.col("block").alias("b")))
+    s, t = (place.select(F.col("block").alias(c), F.col("at").alias(name)) for c, name in (("a", "s"), ("b", "t")))
+    return every.join(s, "a").join(t, "b").select("s", "t", "a", "b")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> ``(vec_id, n_links, component_id, kept)``, a
     row per input row.
@@ -252,15 +283,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         .select("id", "copies", "vector")
         .mapInArrow(_blocks(axes, eps), "block long, ids binary, copies binary, units binary, low array<double>, high array<double>, cells array<long>, around array<long>, lows array<array<double>>, highs array<array<double>>")
     )
-    pairs = near_pairs(blocks, eps)
-    body = ("ids", "copies", "units")
-    x = blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"{c}_a") for c in body))
-    y = blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"{c}_b") for c in body))
-    both = pairs.join(x, "a").join(y, "b").select(*x.columns[1:], *y.columns[1:])
-    same = x.select(*x.columns[1:], *(F.lit(None).cast("binary").alias(c) for c in y.columns[1:]))
-    cores = spark.sparkContext.defaultParallelism
-    work = both.unionByName(same).repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = cut(work.mapInArrow(_joined(axes, cosine, width), "id long, links long, other long"))
+    pairs = cut(near_pairs(blocks, eps))
+    # larger tiles move less, as long as there are several for each core
+    many = pairs.count() / (4 * spark.sparkContext.defaultParallelism)
+    dealt = cut(tiles(pairs, blocks, max(1, min(SIDE, int(many**0.5)))))
+    wanted = dealt.select(F.col("s").alias("u"), F.col("t").alias("v"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    bodies = wanted.join(blocks.select("block", "ids", "copies", "units"), "block")
+    work = dealt.groupBy("s", "t").cogroup(bodies.groupBy("u", "v"))
+    found = cut(work.applyInArrow(_joined(axes, cosine, width), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     facts = classes.join(links, "id", "left").join(roots, "id", "left").select("vector", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
