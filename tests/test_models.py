@@ -57,6 +57,13 @@ def test_contracts(spark):
     assert [tuple(r) for r in other] == [("bare", 0, "missing", None, None)]
 
 
+def test_models_are_not_broadcast(spark):
+    """The rules go to the models' outlets, however few the models seem to be."""
+    plan = check_contracts(spark.range(9).selectExpr("cast(id as string) model", "0 position", "'encoder input' location", "'length' name", "'i64' dtype", "array(1L) shape"), 5)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in text and "BuildLeft" not in text
+
+
 def test_encoder_outputs_are_checked():
     """Padding to buckets, and the first of the broken rules."""
     met = []

@@ -59,7 +59,8 @@ def check_contracts(tensors: DataFrame, vocabulary: int, by: str = "model") -> D
     rules = spark.createDataFrame(rows, "place int, location string, name string, kind string, rank int, at array<int>, size array<long>")
     position = F.col("position") if "position" in tensors.columns else F.lit(0)
     first = tensors.groupBy(by, "location", "name").agg(F.min_by(F.struct("dtype", "shape"), position).alias("t"))
-    x = first.join(rules, ["location", "name"])
+    # left to itself, Spark sends the side that it takes for the smaller: all models
+    x = first.join(F.broadcast(rules), ["location", "name"])
     bad = F.filter(F.arrays_zip("at", "size"), lambda r: _invalid(F.get("t.shape", r["at"])) | ((F.get("t.shape", r["at"]) > 0) & (F.get("t.shape", r["at"]) != r["size"])))
     kinds = (
         F.when(F.col("t.dtype") != F.col("kind"), "type")

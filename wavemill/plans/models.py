@@ -35,7 +35,6 @@ z AS (SELECT model, max(CASE WHEN place = 0 THEN s[2] END) fs, max(CASE WHEN pla
 SELECT z.model, f.outlet, f.problem, CASE WHEN f.outlet IS NULL THEN fs END feature_size, CASE WHEN f.outlet IS NULL THEN coalesce(a, b) END encoded_size FROM z LEFT JOIN f ON f.model = z.model""")
 def graph_contract(spark, d):
     """Contracts of customers' models, each with one or two outlets broken in its own way."""
-    sound = spark.createDataFrame([(i, loc, n, k, s) for i, _, loc, n, k, s in _SOUND], "i int, location string, name string, kind string, sound array<long>")
     listed = [F.struct(F.lit(i).alias("i"), F.lit(loc).alias("location"), F.lit(n).alias("name"), F.lit(k).alias("kind"), F.array(*[F.lit(v).cast("long") for v in s]).alias("sound")) for i, _, loc, n, k, s in _SOUND]
     x = table(spark, d, "customer").select(F.col("c_custkey").alias("model"), "c_nationkey", F.inline(F.array(*listed)))
     own, other = F.expr(f"c_custkey div {_N} % 9".replace("c_custkey", "model")), F.expr("model div 7 % 9")
