@@ -159,6 +159,20 @@ def test_splits_equal_whole_files(spark, tmp_path):
     assert one.count() == 4 and spark.read.format("wav_pcm").load(str(tmp_path / "empty.wav")).count() == 0
 
 
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Tasks do not grow with the number of splits, and every sample is read once, in any number of files."""
+    body = np.random.default_rng(4).integers(-9, 9, 50_000).astype("<i2")
+    wav(tmp_path / "long.wav", body.tobytes())
+    for i in range(30):
+        wav(tmp_path / f"s{i}.wav", b"\1\0" * i)
+    spark.dataSource.register(WavSource)
+    read = spark.read.format("wav_pcm").option("chunk", 10).option("split", 10).load(str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 65
+    got = read.collect()
+    assert [v for r in sorted((r for r in got if r.path.endswith("long.wav")), key=lambda r: r.seq) for v in r.samples] == (body / 32768).tolist()
+    assert sum(r.n_samples for r in got) == 50_000 + sum(range(30))
+
+
 def test_write_and_read(spark, tmp_path):
     """Parts of a source, nulls and clipped samples; a second run changes nothing."""
     rng = np.random.default_rng(5)

@@ -1,5 +1,5 @@
-"""WAV files as a Spark data source: byte ranges of one file are partitions of their
-own, batch and streaming; and a writer.
+"""WAV files as a Spark data source: byte ranges of one file are read apart, by tasks
+of their own or several by one, batch and streaming; and a writer.
 
     spark.dataSource.register(WavSource)
     spark.read.format("wav_pcm").option("split", 1 << 20).load(folder)
@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from wavemill.schema import SAMPLE_RATE
 from wavemill.sources.wav import CHUNK, Header, header, samples_of
 
-#: Samples of a partition unless the ``split`` option says else.
+#: Samples of a split unless the ``split`` option says else.
 SPLIT = 1 << 22
+#: Tasks that smaller splits are dealt to, as long as none has more than ``SPLIT`` samples.
+TASKS = 64
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-class Range(InputPartition):
+@dataclass(frozen=True)
+class Range:
     """Samples ``first`` to ``last`` of a file, or the reason why it has none."""
 
-    def __init__(self, path: str, form: Header | None, first: int = 0, last: int = 0, error: str | None = None):
-        self.path, self.form, self.first, self.last, self.error = path, form, first, last, error
+    path: str
+    form: Header | None
+    first: int = 0
+    last: int = 0
+    error: str | None = None
+
+
+class Splits(InputPartition):
+    """Splits that one task reads, one after another."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
 
 
 class _Ranges:
@@ -51,6 +65,20 @@ class _Ranges:
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         return sorted((f.mtime_ns or 0, f.path) for f in found if f.is_file and f.path.lower().endswith(".wav"))
 
+    def dealt(self, ranges: list[Range]) -> list[Splits]:
+        """Neighbouring splits by tasks: a task for each of them costs more than they
+        hold where they are small and many."""
+        sizes = [max(r.last - r.first, self.chunk) for r in ranges]
+        most = min(SPLIT, -(-sum(sizes) // TASKS)) if len(ranges) > TASKS else 0
+        out, held = [], most
+        for r, size in zip(ranges, sizes):
+            if held >= most:
+                out.append(Splits([]))
+                held = 0
+            out[-1].ranges.append(r)
+            held += size
+        return out
+
     def ranges(self, names: list[str]) -> list[Range]:
         """Splits of whole chunks; heads are read here, samples are not."""
         store, _ = opened(self.path)
@@ -65,7 +93,11 @@ class _Ranges:
             out += [Range(name, form, lo, min(lo + self.split, form.frames)) for lo in range(0, form.frames, self.split)]
         return out
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, task: Splits) -> Iterator[pa.RecordBatch]:
+        for part in task.ranges:
+            yield from self.rows(part)
+
+    def rows(self, part: Range) -> Iterator[pa.RecordBatch]:
         names = ["path", "seq", "n_samples", "samples", "error"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.string()]
         if part.form is None:
@@ -84,8 +116,8 @@ class _Ranges:
 
 
 class WavReader(_Ranges, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return self.ranges([name for _, name in self.files()]) or [Range(self.path, Header(1, 8, 0, 0))]
+    def partitions(self) -> list[Splits]:
+        return self.dealt(self.ranges([name for _, name in self.files()]) or [Range(self.path, Header(1, 8, 0, 0))])
 
 
 class WavStreamReader(_Ranges, DataSourceStreamReader):
@@ -99,9 +131,9 @@ class WavStreamReader(_Ranges, DataSourceStreamReader):
         files = self.files()
         return {"time": files[-1][0], "name": files[-1][1]} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Splits]:
         after, upto = ((o["time"], o["name"]) for o in (start, end))
-        return self.ranges([name for time, name in self.files() if after < (time, name) <= upto])
+        return self.dealt(self.ranges([name for time, name in self.files() if after < (time, name) <= upto]))
 
 
 class WavSource(DataSource):
