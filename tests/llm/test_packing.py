@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -105,3 +106,19 @@ def test_unit_ids_equal_the_tokenizers(name):
     at = np.concatenate(([0], np.cumsum(counts)))
     for i, t in enumerate(texts):
         assert got[at[i] : at[i + 1]].tolist() == ids_of.tok.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_search_memory():
+    """A deep search holds one histogram and one plan, not copies of both for each bin."""
+    import tracemalloc
+
+    counts = {k: 1 + k % 7 for k in range(1, 401)}
+    tracemalloc.start()
+    plan = packing.bin_completion(counts, 400, effort=20, nodes=400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = Counter()
+    for contents, n in plan:
+        assert sum(contents) <= 400
+        got.update({k: n * v for k, v in Counter(contents).items()})
+    assert got == counts and peak < 2_000_000

@@ -114,7 +114,11 @@ def bin_completion(counts: dict[int, int], size: int, effort: int = 400, keep: i
     floor = max(-(-total // size), sum(v for k, v in counts.items() if 2 * k > size))
     left_nodes = nodes
 
-    def dive(left: dict[int, int], used: int, waste: int, plan: Plan) -> None:
+    # one histogram and one plan, changed and changed back: a search is thousands of
+    # bins deep, and copies of both in each would be most of the driver's memory
+    left, plan = dict(counts), []
+
+    def dive(used: int, waste: int) -> None:
         nonlocal incumbent, best, left_nodes
         if not left:
             if used < best:
@@ -128,17 +132,24 @@ def bin_completion(counts: dict[int, int], size: int, effort: int = 400, keep: i
             rest = best_fit_decreasing(left, size)
             if used + sum(n for _, n in rest) < best:
                 incumbent, best = plan + rest, used + sum(n for _, n in rest)
+            del rest
         top = max(left)
-        after = dict(left)
-        after[top] -= 1
-        lengths = [k for k in sorted(after, reverse=True) if after[k] > 0]
-        for filling in fillings(after, lengths, size - top, effort, keep) or [()]:
+        left[top] -= 1
+        found = fillings(left, [k for k in sorted(left, reverse=True) if left[k] > 0], size - top, effort, keep)
+        left[top] += 1
+        for filling in found or [()]:
             contents = (top,) + filling
             need = {k: contents.count(k) for k in set(contents)}
             times = max(1, min(left[k] // n for k, n in need.items()))
-            room = size - sum(contents)
-            rest = {k: v - times * need.get(k, 0) for k, v in left.items() if v > times * need.get(k, 0)}
-            dive(rest, used + times, waste + times * room, plan + [(contents, times)])
+            for k, n in need.items():
+                left[k] -= times * n
+                if not left[k]:
+                    del left[k]
+            plan.append((contents, times))
+            dive(used + times, waste + times * (size - sum(contents)))
+            plan.pop()
+            for k, n in need.items():
+                left[k] = left.get(k, 0) + times * n
             if best == floor or left_nodes <= 0:
                 return
 
@@ -147,7 +158,7 @@ def bin_completion(counts: dict[int, int], size: int, effort: int = 400, keep: i
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 50_000))
     try:
-        dive(counts, 0, 0, [])
+        dive(0, 0)
     finally:
         sys.setrecursionlimit(limit)
     return incumbent
