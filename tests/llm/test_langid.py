@@ -1,6 +1,8 @@
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from wavemill.llm import langid
 
@@ -60,3 +62,20 @@ def test_refits_agree_with_repeated_keys(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     a, b = langid.fit(df, per_lang=9), langid.fit(df.repartition(3), per_lang=9)
     assert a.langs == b.langs and np.array_equal(a.weights, b.weights)
+
+
+def test_memory_of_a_batch():
+    """A batch of 4 MB is labelled in slices that keep a worker small."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), rng.integers(2, 10))) for _ in range(20_000)])
+    texts = [" ".join(rng.choice(vocabulary, 1500)) for _ in range(400)]
+    model = langid.Model(list("abcd"), rng.random((1 << langid.BITS, 4), np.float32), np.zeros((4, 4)), np.zeros(4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        got = list(langid._predict(lambda: model)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, got)) == 400
+    assert peak < 70e6

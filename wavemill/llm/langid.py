@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .base import prepare, remainder, spread
 from .textnum import _GRAM, mix64, slices, string_parts, words
 
-#: Hashed features, and the words of a chunk.
-BITS, CHUNK = 18, 64
+#: Hashed features, the words of a chunk, and text bytes labelled at a time (with up to 8 labels).
+BITS, CHUNK, SLICE = 18, 64, 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -222,7 +222,7 @@ def _predict(model_of):
             data, offsets = string_parts(lowered)
             langs, scores = [], []
             # more labels, shorter slices: transfer matrices are labels by labels
-            for lo, hi in slices(offsets, max_bytes=(2 << 20) * 8 // max(8, len(model.langs) if model else 1)):
+            for lo, hi in slices(offsets, max_bytes=SLICE * 8 // max(8, len(model.langs) if model else 1)):
                 w = words(data, offsets[lo : hi + 1], lower=False)
                 rows = hi - lo
                 share = np.zeros((rows, len(model.langs) if model else 1))
