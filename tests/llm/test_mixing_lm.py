@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -221,3 +222,32 @@ def test_order_equals_the_stable_one():
     # equal but for bits that places take
     x = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 4, 3000).astype(np.uint64)
     assert (mixing_lm.stable_order(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_every_training_bit_is_learned_from(monkeypatch):
+    """Weights and map see each bit of each word as often as the word occurs."""
+    bodies, n = words_with_counts(9, 300)
+    n[5] *= 1000  # frequent words are dealt to several steps
+    block = mixing_lm.with_surroundings(bodies, n, [])
+    row = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.arange(len(bodies)).tobytes()]), pa.array([bodies], pa.list_(pa.binary())), pa.array([n.tobytes()])], ["block", "units", "bodies", "n"])
+    want = sum(8 * len(b) * m.sum() for b, m in zip(bodies, n))
+    for learned in (1 << 19, 100):
+        monkeypatch.setattr(mixing_lm, "LEARNED", learned)
+        (got,) = mixing_lm._learn(SimpleNamespace(value=(counted([block]), {})), LAYOUT)(iter([row]))
+        for column in ("hits", "cells"):
+            assert math.isclose(np.frombuffer(got.column(column)[0].as_py()).sum(), want, rel_tol=1e-4)
+
+
+def test_every_training_text_tells_classes():
+    rnd = np.random.default_rng(10)
+    texts = ["".join(rnd.choice(list("abcdefg "), rnd.integers(0, 30))) for _ in range(5000)] + ["", "x"]
+    parts = [b for lo in (0, 2600) for b in mixing_lm._features(iter([pa.RecordBatch.from_arrays([pa.array(texts[lo : lo + 2600])], ["text"])]))]
+    data, offsets = mixing_lm.string_parts(pa.array(texts))
+    x = mixing_lm.features(data, offsets)
+    for t, f in list(zip(texts, x))[::100]:
+        want = Counter((int.from_bytes(p.encode(), "big") * 40503 & 0xFFFF) >> 8 for p in map("".join, zip(t, t[1:])))
+        assert np.allclose(f, [math.sqrt(want[i] / max(1, len(t) - 1)) for i in range(mixing_lm.FEATURES)])
+    rows = pa.Table.from_batches(parts)
+    sums = [mixing_lm._add_features((pa.scalar(g),), rows.filter(pc.equal(rows["grp"], g))) for g in pc.unique(rows["grp"]).to_pylist()]
+    assert sum(s["n"][0].as_py() for s in sums) == len(texts)
+    assert np.allclose(sum(np.frombuffer(s["x"][0].as_py(), "<f4") for s in sums), x.sum(0), rtol=1e-3)
