@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -251,3 +252,70 @@ def test_every_training_text_tells_classes():
     sums = [mixing_lm._add_features((pa.scalar(g),), rows.filter(pc.equal(rows["grp"], g))) for g in pc.unique(rows["grp"]).to_pylist()]
     assert sum(s["n"][0].as_py() for s in sums) == len(texts)
     assert np.allclose(sum(np.frombuffer(s["x"][0].as_py(), "<f4") for s in sums), x.sum(0), rtol=1e-3)
+
+
+def packed_chunk(seed, mb):
+    """A chunk of texts, most of whose words are new."""
+    rnd = np.random.default_rng(seed)
+    texts = [" ".join(w.tobytes().decode() for w in rnd.integers(97, 123, (512, 7), dtype=np.uint8)) for _ in range(mb * 256)]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int32)), pa.array(range(len(texts))), pa.array([i % 7 == 2 for i in range(len(texts))]), pa.array(texts)], ["chunk", "doc_id", "held_out", "text"])
+    return [b for lo in range(0, len(texts), 256) for b in mixing_lm._pack(iter([rows.slice(lo, 256)]))], texts
+
+
+def test_listing_units_holds_few_copies():
+    blocks, texts = packed_chunk(13, 8)
+    centres = mixing_lm.fit_classes(np.zeros((0, mixing_lm.FEATURES)), np.zeros(0))
+    tracemalloc.start()
+    rows = 0
+    for b in mixing_lm._chunk_units(centres, 16)(iter(blocks)):
+        rows += len(b) - b.column("unit").null_count
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    distinct = len({w for t in texts for w in t.split()}) + 1
+    assert rows == distinct
+    # of numpy's and Python's memory: 249 MB before units were added up in place, 104 MB since
+    assert peak < 160e6
+
+
+def test_units_and_pairs_of_a_chunk_equal_plain_counts(monkeypatch):
+    blocks, texts = packed_chunk(14, 1)
+    centres = mixing_lm.fit_classes(np.zeros((0, mixing_lm.FEATURES)), np.zeros(0))
+    monkeypatch.setattr(mixing_lm, "PAIRS_SORTED", 1000)
+    out = pa.Table.from_batches(list(mixing_lm._chunk_units(centres, 37)(iter(blocks))))
+    units = out.filter(pc.is_null(out["keys"]))
+    got = {b: sum(n) for b, *n in zip(*(units[c].to_pylist() for c in ("body", *mixing_lm._N)))}
+    want = Counter()
+    for i, t in enumerate(texts):
+        want.update({w.encode() + mixing_lm.END: n * (i % 7 != 2) for w, n in Counter([*t.split(), ""]).items()})
+    assert got == dict(want)
+    asked = out.filter(pc.is_valid(out["keys"]))
+    pairs = {}
+    for part, n, keys, counts in zip(*(asked[c].to_pylist() for c in ("part", "pairs", "keys", "counts"))):
+        keys = np.cumsum(mixing_lm.from_planes(keys, n))
+        assert ((keys * np.uint64(37) >> np.uint64(mixing_lm.PAIR_BITS)) == part).all()
+        assert not pairs.keys() & set(keys.tolist())
+        pairs.update(zip(keys.tolist(), mixing_lm.from_planes(counts, n).tolist()))
+    want = {}
+    data, offsets = mixing_lm.string_parts(pa.array(texts))
+    t = mixing_lm.tokens(data, offsets)
+    for k, i in zip(mixing_lm.pair_keys(t.token).tolist(), t.row.tolist()):
+        want[k] = want.get(k, 0) + 2 if i % 7 != 2 else want.get(k, 0) | 1
+    assert pairs == want
+
+
+def test_tasks_learn_side_by_side():
+    """Sums of pieces are those of whole tasks, whatever their order."""
+    bodies, n = words_with_counts(15, 300)
+    block = mixing_lm.with_surroundings(bodies, n, [])
+    sent = SimpleNamespace(value=(counted([block]), {}))
+    parts, whole = [], []
+    for lo, hi in ((0, 100), (100, len(bodies))):
+        row = pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([np.arange(lo, hi).tobytes()]), pa.array([bodies[lo:hi]], pa.list_(pa.binary())), pa.array([n[lo:hi].tobytes()])], ["block", "units", "bodies", "n"])
+        parts += mixing_lm._learned(sent, LAYOUT)(iter([row]))
+        (got,) = mixing_lm._learn(sent, LAYOUT)(iter([row]))
+        w, hits, m, cells = (np.frombuffer(got.column(c)[0].as_py()) for c in range(4))
+        whole.append(np.concatenate(((w.reshape(-1, mixing_lm.INPUTS) * hits[:, None]).ravel(), hits, m * cells, cells)))
+    for order in (parts, parts[::-1]):
+        rows = pa.Table.from_batches(order)
+        sums = [mixing_lm._add((pa.scalar(k),), rows.filter(pc.equal(rows["part"], k)))["counts"][0].as_py() for k in range(mixing_lm.LEARNED_PARTS)]
+        assert np.array_equal(np.concatenate([np.frombuffer(zlib.decompress(x)) for x in sums]), whole[0] + whole[1])
