@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wavemill.llm import mixing_lm
+from wavemill.llm import mixing_lm, textnum
 
 
 def brute(rows):
@@ -319,3 +319,71 @@ def test_tasks_learn_side_by_side():
         rows = pa.Table.from_batches(order)
         sums = [mixing_lm._add((pa.scalar(k),), rows.filter(pc.equal(rows["part"], k)))["counts"][0].as_py() for k in range(mixing_lm.LEARNED_PARTS)]
         assert np.array_equal(np.concatenate([np.frombuffer(zlib.decompress(x)) for x in sums]), whole[0] + whole[1])
+
+
+def test_words_that_begin_like_no_other_take_few_steps(monkeypatch):
+    """Their bytes are handled together, not one bit after another."""
+    rnd = np.random.default_rng(16)
+    bodies = sorted(bytes([first, *rnd.integers(97, 123, 39)]) + mixing_lm.END for first in b"akz")
+    n = rnd.integers(1, 9, (3, mixing_lm.CLASSES)).astype(float)
+    calls, slots = [], mixing_lm.Layout.slots
+    monkeypatch.setattr(mixing_lm.Layout, "slots", lambda *a: calls.append(1) or slots(*a))
+    block = mixing_lm.with_surroundings(bodies, n, [])
+    row = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.arange(3).tobytes()]), pa.array([bodies], pa.list_(pa.binary())), pa.array([n.tobytes()])], ["block", "units", "bodies", "n"])
+    out = pa.Table.from_batches(list(mixing_lm._count(LAYOUT)(iter([row]))))
+    counts = np.zeros((2, LAYOUT.size))
+    for part, packed in zip(*(out[c].to_pylist() for c in ("part", "counts"))):
+        counts.reshape(-1, mixing_lm.SENT)[part] = np.frombuffer(zlib.decompress(packed))
+    tables = (mixing_lm.stretch(mixing_lm.chance(*counts.astype(np.float32))), mixing_lm.confidence(counts.sum(0)))
+    costs = mixing_lm.word_bits(*block, LAYOUT, tables, mixing_lm.Mixer())
+    # a bit at a time they were 328 steps for the costs, and up to twice as many for the counts
+    assert len(calls) < 40
+    assert np.array_equal(counts, counted([block]))
+    for i, g in ((0, 0), (1, 3), (2, 1)):
+        assert abs(costs[i, g] - scalar_bits(bodies, n, bodies[i], g, mixing_lm.Mixer())) < 1e-3
+
+
+def test_places_equal_a_binary_search():
+    rng = np.random.default_rng(17)
+    for bits, size in ((64, 1), (64, 5000), (40, 3), (40, 5000), (5, 20)):
+        ids = np.unique(rng.integers(0, 1 << bits, size, dtype=np.uint64, endpoint=bits < 64) if bits < 64 else rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        some = ids[rng.integers(0, len(ids), 300)]
+        value = np.minimum(np.concatenate((some, some - np.minimum(some, 1), rng.integers(0, 1 << min(bits, 63), 300).astype(np.uint64))), ids[-1])
+        got = mixing_lm.Places(ids, bits)
+        assert (got.of(value) == np.searchsorted(ids, value)).all()
+        place, which = got.different(value, mixing_lm.stable_order(value))
+        assert (place[which] == np.searchsorted(ids, value)).all() and len(place) == len(np.unique(value))
+
+
+def test_hashes_and_bodies_of_pieces():
+    rnd = np.random.default_rng(18)
+    words = ["".join(rnd.choice(list("aB\0\u00e9"), rnd.integers(1, 20))) for _ in range(2000)] + ["y" * k for k in (1, 7, 8, 9, 47, 48, 49, 97)]
+    data, offsets = mixing_lm.string_parts(pa.array([" ".join(words), "", "\t", "\n".join(words[::-1])]))
+    t = mixing_lm.tokens(data, offsets)
+    whole = np.array([3, len(t.unit) + 5, 0])
+    got = mixing_lm.bodies_of(t, np.concatenate((np.arange(len(t.unit)), whole))).to_pylist()
+    raw, by_unit = t.buf.tobytes(), {}
+    for unit, lo, hi, kind, body in zip(t.unit.tolist(), t.start.tolist(), t.end.tolist(), t.kind.tolist(), got):
+        assert body == (mixing_lm.AGAIN if kind & 2 else b"") + raw[lo:hi] + (mixing_lm.MORE if kind & 1 else mixing_lm.END)
+        assert by_unit.setdefault(unit, body) == body
+    assert len(set(by_unit.values())) == len(by_unit)
+    assert got[len(t.unit) :] == [got[3], None, got[0]]
+    empty = mixing_lm.tokens(*mixing_lm.string_parts(pa.array(["", ""])))
+    assert mixing_lm.bodies_of(empty, np.arange(2)).to_pylist() == [mixing_lm.END] * 2
+
+
+def test_sums_of_small_probabilities():
+    logs, share, other = (x.ravel() for x in np.meshgrid([-1e5, -750.0, -650.0, -20.0, -1e-9], [0.0, 1e-3, 0.9], [0.0, 1e-200, 1.0]))
+    got = mixing_lm.log_sum(share, np.exp(np.maximum(logs, -700)), logs, other)
+    assert np.allclose(got, np.logaddexp(np.log1p(-share) + logs, np.log(np.maximum(share * other, 1e-300))), rtol=1e-12, atol=1e-12)
+
+
+def test_planes():
+    for x in ([], [0, 0], [255, 256, 0, 1 << 40], [(1 << 64) - 1, 5]):
+        x = np.array(x, np.uint64)
+        assert (mixing_lm.from_planes(mixing_lm.to_planes(x), len(x)) == x).all()
+
+
+def test_bytes_equal_their_tables():
+    every = np.arange(256, dtype=np.uint8)
+    assert (textnum.lowered(every) == textnum.LOWER).all() and (textnum.word_bytes(every) == textnum.IS_WORD).all()
